@@ -185,3 +185,53 @@ grouped AS (SELECT g.report_id, g.group_name, g.status_family, h.name AS name,
 
 def q(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
+
+
+_IPC = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?:/[0-9]{1,2})?\b"
+_CIDR = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}/[0-9]{1,2}\b"
+CATEGORY_CASE = """CASE first_row % 6 WHEN 0 THEN 'Web_App | Crypto Configuration 10.0.0.0/8'
+ WHEN 1 THEN 'Database - Access' WHEN 2 THEN '[PLACEHOLDER]' ELSE NULL END"""
+
+
+def category_words(x: str) -> str:
+    t = f"regexp_replace(coalesce({x}, ''), '{_IPC}', ' ', 'g')"
+    t = f"regexp_replace({t}, '[_|/]+', ' ', 'g')"
+    t = f"regexp_replace({t}, '\\s+-\\s+', ' ', 'g')"
+    return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'), ' -')"
+
+
+def slug(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+_BARE = strip_plugin("coalesce(nullif(" + sq("name") + ", ''), '[INSUFFICIENT DATA]')")
+_HAY = "lower(concat_ws(' ', coalesce(name, ''), coalesce(description, '')))"
+
+PRESENT = f"""{GROUPED},
+fsubnets AS (SELECT DISTINCT report_id, group_name, status_family,
+  concat(regexp_extract(asset, '^([0-9]+\\.[0-9]+\\.[0-9]+)\\.', 1), '.0/24') AS subnet FROM assets),
+fnets AS (SELECT report_id, group_name, status_family, count(*) AS n, min(subnet) AS first_subnet
+  FROM fsubnets GROUP BY ALL),
+present0 AS (SELECT g.*, coalesce(n, 0) AS subnet_count, first_subnet, {CATEGORY_CASE} AS category0
+  FROM grouped g LEFT JOIN fnets USING (report_id, group_name, status_family)),
+present1 AS (SELECT *, CASE WHEN NOT {placeholder('category0')} THEN category0
+   WHEN subnet_count = 1 THEN concat('Internal Network - ', first_subnet)
+   WHEN subnet_count > 1 THEN 'Internal Network - Multiple Subnets'
+   ELSE coalesce({first_keyword(_HAY, fixed.CATEGORY_KEYWORDS)}, 'Network Infrastructure') END AS category FROM present0),
+present2 AS (SELECT *, coalesce(nullif({slug(category_words('category'))}, ''), 'general') AS taxonomy_family,
+  list_distinct(list_concat(regexp_extract_all(category, '{_CIDR}'), CASE WHEN subnet_count >= 1 THEN [first_subnet] ELSE [] END)) AS nets,
+  {sq(family(key(_BARE), _BARE, 'proof_of_concept', 'title'))} AS display_title FROM present1),
+findings AS (SELECT * EXCLUDE (nets, category0), {category_words('category')} AS taxonomy_label,
+  CASE WHEN len(nets) + (CASE WHEN subnet_count > 1 THEN 1 ELSE 0 END) = 1 THEN nets[1]
+   WHEN len(nets) + (CASE WHEN subnet_count > 1 THEN 1 ELSE 0 END) > 1 THEN 'multiple-subnets' ELSE 'host-specific' END AS subnet_key,
+  {lookup('severity', fixed.SEVERITY_RANK, '0')} AS sev_rank,
+  {lookup('severity', fixed.NARRATIVE_RANK, '5')} AS narr_rank,
+  {key('display_title')} AS title_key, lower(id) AS id_key FROM present2),
+labelled AS (SELECT *, CASE subnet_key WHEN 'multiple-subnets' THEN 'Multiple subnets'
+  WHEN 'host-specific' THEN 'Host-specific findings' ELSE subnet_key END AS subnet_label FROM findings)"""
+
+COUNTS = ", ".join(
+    f"count(*) FILTER (severity = '{s}') AS total_{s.lower()}"
+    for s in ("Critical", "High", "Medium", "Low")
+)
+TOTAL = "count(*) FILTER (severity IN ('Critical','High','Medium','Low')) AS total_findings"

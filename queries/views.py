@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scanlake.session import spread, tune
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -120,8 +122,12 @@ VIEWS = {
 }
 
 
+LARGE = {"orders", "lineitem", "events", "documents", "pages", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in LARGE else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,7 +14,7 @@ from scanlake.functions.text import (
 )
 from scanlake.functions.titles import family_and_title, is_promoted
 from scanlake.operators.ordinal import first_k, number_by_pos
-from scanlake.session import stable
+from scanlake.session import once, stable
 
 KEYS = ["report_id", "group_name", "status_family"]
 SCAN_FIELDS = [
@@ -64,14 +64,14 @@ def normalise_rows(scan: DataFrame) -> DataFrame:
 
 def title_rows(rows: DataFrame) -> DataFrame:
     """Add group_name, display name, asset and status family to normalised rows."""
+    staged = rows.withColumns({
+        "_lower": key_text(F.col("raw_name")),
+        "_status": status_text(
+            F.col("observation"), F.col("remediation_status"), F.col("risk_status")
+        ),
+    })
     return (
-        rows.withColumns({
-            "_lower": key_text(F.col("raw_name")),
-            "_status": status_text(
-                F.col("observation"), F.col("remediation_status"), F.col("risk_status")
-            ),
-        })
-        .withColumns({
+        once(staged, {
             "_t": family_and_title(
                 F.col("_lower"), F.col("raw_name"), F.col("proof_of_concept")
             ),

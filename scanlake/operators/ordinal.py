@@ -70,20 +70,20 @@ def number_by_order(
     ranged = stable(
         df.repartitionByRange(n, *lead, *order)
         .sortWithinPartitions(*lead, *order)
-        .withColumn("_id", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_id", 33))
+        .withColumn("_num_id", F.monotonically_increasing_id())
+        .withColumn("_num_part", F.shiftright("_num_id", 33))
     )
-    counts = ranged.groupBy(*keys, "_part").agg(
-        F.count("*").alias("_n"), F.min("_id").alias("_first")
+    counts = ranged.groupBy(*keys, "_num_part").agg(
+        F.count("*").alias("_n"), F.min("_num_id").alias("_num_first")
     )
-    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy("_num_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+        *keys, "_num_part", "_num_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_num_before")
     )
     return (
-        ranged.join(offsets, [*keys, "_part"])
-        .withColumn(name, F.col("_before") + F.col("_id") - F.col("_first") + 1)
-        .drop("_id", "_part", "_first", "_before")
+        ranged.join(offsets, [*keys, "_num_part"])
+        .withColumn(name, F.col("_num_before") + F.col("_num_id") - F.col("_num_first") + 1)
+        .drop("_num_id", "_num_part", "_num_first", "_num_before")
     )
 
 

@@ -1,10 +1,47 @@
-"""Session helpers: reliable checkpoints and key-safe numbering."""
+"""Session helpers: settings, reliable checkpoints, expressions evaluated once."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+HUGE_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Settings the rule ladders rely on, where the session leaves the default.
+
+    HotSpot does not compile methods over 8000 bytes of byte code; a long ladder in
+    one whole-stage method would run interpreted.  With this limit Spark splits such
+    stages into small compiled methods instead.
+    """
+    if spark.conf.get(HUGE_METHOD_LIMIT) == "65535":
+        spark.conf.set(HUGE_METHOD_LIMIT, "8000")
+    return spark
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    A filter on a projected column is pushed below the projection with the column's
+    expression substituted into it, which would run a rule ladder twice.  Filters do
+    not pass a generator, so the projected values are handed through a one-element
+    `inline`.
+    """
+    hidden = df.withColumns({"_once_" + n: c for n, c in columns.items()})
+    row = F.struct(*[F.col("_once_" + n).alias(n) for n in columns])
+    return hidden.select(*df.columns, F.inline(F.array(row)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Fan a scan with fewer partitions than cores out over the cores.
+
+    Large inputs have more partitions than cores and are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
