@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanlake.session import spread, tune
+from scanlake.session import barrier, spread, tune
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -138,4 +138,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     needed = [t for t in [*TABLES, *VIEWS] if t != name and f" {t}" in text.replace("\n", " ")]
     for n in needed:
         view(spark, sf_dir, n).createOrReplaceTempView(n)
-    return spark.sql(text)
+    # A scan is read from files; the barrier makes the derived one behave like that.
+    return barrier(spark.sql(text)) if name == "scan_rows" else spark.sql(text)

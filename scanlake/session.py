@@ -35,6 +35,11 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return hidden.select(*df.columns, F.inline(F.array(row)))
 
 
+def barrier(df: DataFrame) -> DataFrame:
+    """The same rows, with filters above kept from being rewritten into the projection."""
+    return df.select(F.inline(F.array(F.struct("*"))))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Fan a scan with fewer partitions than cores out over the cores.
 
