@@ -10,6 +10,7 @@ from scanlake.functions.text import (
 )
 from scanlake.operators import presentation as p
 from scanlake.operators import rollup as r
+from scanlake.session import stable
 
 DERIVED = [
     "affected_assets_raw", "display_title", "taxonomy_family", "taxonomy_label", "subnet_key",
@@ -69,16 +70,19 @@ def front_matter(composed: DataFrame) -> DataFrame:
     })
 
 
-def present(findings: DataFrame, subnet_summary: DataFrame) -> DataFrame:
+def present(findings: DataFrame, subnet_summary: DataFrame, keys: list[str]) -> DataFrame:
     """Derived report fields of every finding."""
-    shown = p.with_category(findings, subnet_summary)
+    shown = p.with_category(findings, subnet_summary, keys)
     return p.with_control_display(p.with_taxonomy(p.with_display_title(shown)))
 
 
-def compose_report(findings: DataFrame, subnet_summary: DataFrame) -> dict[str, DataFrame]:
-    """Findings with derived fields, outline groups and members, and the narrative.
+def compose_report(
+    findings: DataFrame, subnet_summary: DataFrame, keys: list[str]
+) -> dict[str, DataFrame]:
+    """Findings with derived fields, outline groups, and the narrative.
 
-    Derived columns are dropped and computed again, so composing twice gives the same.
+    `subnet_summary` is keyed by `keys`.  Derived columns are dropped and computed
+    again, so composing twice gives the same.
     """
     base = findings.drop(*DERIVED, "subnet_count", "first_subnet", "web_asset")
     have = set(base.columns)
@@ -86,7 +90,7 @@ def compose_report(findings: DataFrame, subnet_summary: DataFrame) -> dict[str,
         c: F.lit(None).cast("string")
         for c in ("control_name", "control_objective") if c not in have
     })
-    shown = present(base, subnet_summary)
+    shown = stable(present(base, subnet_summary, keys))
     return {
         "findings": shown,
         "outline_groups": r.outline_groups(shown),
