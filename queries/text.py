@@ -14,6 +14,7 @@ from scanlake.operators import lines as L
 from scanlake.operators import match as m
 from scanlake.operators import privacy as P
 from scanlake.operators import rollup as r
+from scanlake.session import barrier
 from scanlake.sources.scans import explode_lines
 from scanlake.tables import fixed
 
@@ -76,8 +77,8 @@ def redact(spark, sf):
 
 
 def entities(spark, sf):
-    return P.assign_placeholders(documents(spark, sf), ["text"]).select(
-        "doc_id", F.inline("entities")).select("doc_id", "placeholder", "original")
+    found = barrier(P.assign_placeholders(documents(spark, sf), ["text"]).select("doc_id", "entities"))
+    return found.select("doc_id", F.inline("entities")).select("doc_id", "placeholder", "original")
 
 
 def restore(spark, sf):

@@ -13,7 +13,10 @@ from scanlake.tables import fixed
 def fuzzy_fp(name: Column) -> Column:
     """Some window of the name, as long as the target, agrees with it in enough places.
 
-    The ratio is 2 * matching positions / (window length + target length).
+    The ratio is 2 * matching positions / (window length + target length).  At the
+    threshold at most three of fourteen places may differ, so three neighbouring
+    places must agree; names without any three-letter piece of the target skip the
+    window test.
     """
     target = fixed.FP_TARGET
     n = len(target)
@@ -28,7 +31,8 @@ def fuzzy_fp(name: Column) -> Column:
             hits = hit if hits is None else hits + hit
         return 2.0 * hits / (F.length(window) + n) >= fixed.FP_THRESHOLD
 
-    return F.exists(starts, close)
+    pieces = "|".join(target[i:i + 3] for i in range(n - 2))
+    return F.when(text.rlike(pieces), F.exists(starts, close)).otherwise(F.lit(False))
 
 
 def is_false_positive(name: Column, observation: Column, risk_status: Column,

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlake.functions.text import or_empty, split_lines, strip, words
+from scanlake.session import once
 from scanlake.tables import fixed
 
 NOISE = "(?i)" + "|".join(f"(?:{p})" for p in fixed.NOISE_PATTERNS)
@@ -54,9 +55,8 @@ def clean_texts(docs: DataFrame) -> DataFrame:
     staged = staged.withColumn(
         "_keep", F.array_sort(F.concat(F.transform(firsts, lambda e: e["i"]), blanks))
     )
-    return staged.withColumn(
-        "text", F.array_join(F.transform("_keep", lambda i: F.get(F.col("_lines"), i)), "\n")
-    ).drop("_lines", "_m", "_sorted", "_keep")
+    kept = F.array_join(F.transform("_keep", lambda i: F.get(F.col("_lines"), i)), "\n")
+    return once(staged.drop("text"), {"text": kept}).drop("_lines", "_m", "_sorted", "_keep")
 
 
 def limit_words(docs: DataFrame, cleaned: DataFrame, max_words: int, key: str = "doc_id") -> DataFrame:
@@ -121,9 +121,12 @@ def chunk_texts(docs: DataFrame, per_chunk: int = 6, key: str = "doc_id") -> Dat
     whole = F.when(F.coalesce(F.size(chunks), F.lit(0)) > 0, chunks).otherwise(
         F.array(or_empty(F.col("text")))
     )
+    # Exploding the expression itself: for a plain column Spark would add a size filter
+    # and push it, with everything the column is made of, down to the scan.
     return staged.select(
-        key, (F.size("_bounds") >= 3).alias("by_boundary"), whole.alias("_c")
-    ).select(key, "by_boundary", F.posexplode("_c").alias("chunk_no", "chunk"))
+        key, (F.size("_bounds") >= 3).alias("by_boundary"),
+        F.posexplode(whole).alias("chunk_no", "chunk"),
+    )
 
 
 def estimate_chunks(docs: DataFrame, per_chunk: int = 6, key: str = "doc_id") -> DataFrame:
