@@ -188,6 +188,17 @@ REPORT_DEFAULTS = {
 }
 
 
+def blank_finding(spark, index: int) -> DataFrame:
+    """One default row for a finding that is entered by hand."""
+    stated = {
+        "id": f"{index:03d}", "name": "[New Finding]", "severity": "Medium",
+        "cve": fixed.INSUFFICIENT, "remediation_status": "Open", "risk_status": "Open",
+        "observation": "New", "reference": "OWASP Top 10",
+    }
+    row = {**{c: fixed.PLACEHOLDER for c in REPORT_DEFAULTS}, **stated}
+    return spark.createDataFrame([tuple(row.values())], [*row])
+
+
 def fill_required(findings: DataFrame) -> DataFrame:
     """Write the sentinel into every required field that is absent or blank (sink side)."""
     have = set(findings.columns)
