@@ -321,6 +321,15 @@ def _template_sql() -> str:
     return f"SELECT row_id, CASE {keys} END AS template_key, CASE {texts} END AS recommendation FROM (SELECT *, lower(raw_name) AS t FROM norm)"
 
 
+_IP_PORT = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]+)?\b"
+_HOST_PORT = r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}(?::[0-9]+)?\b"
+_SEV = d.sq(d.oe("severity"))
+_NORM_RAW = f"""nr AS (SELECT pos, {d.squeeze('name')} AS name,
+  CASE WHEN {_SEV} = '' THEN 'Medium' ELSE {d.lookup(f'lower({_SEV})', fixed.CANONICAL_SEVERITY)} END AS severity, {_ASSETS} AS a,
+  concat_ws(' ', description, CASE WHEN pos % 2 = 0 THEN 'Seen on 10.9.8.7:22 and db1.corp.example.' END) AS dsc FROM raw_findings),
+nx AS (SELECT pos, name, severity, list_concat(a, regexp_extract_all(dsc, '{_IP_PORT}'), regexp_extract_all(dsc, '{_HOST_PORT}')) AS l FROM nr)"""
+
+
 ORACLE = {
     "group_findings": d.q(d.GROUPED, f"SELECT {', '.join(FINDING_COLS)} FROM grouped"),
     "finding_assets": d.q(d.GROUPED, "SELECT * FROM assets"),
@@ -350,9 +359,7 @@ ORACLE = {
         f"(arg_min(struct_pack(v := {c}), row(CASE WHEN coalesce({c}, '') = '' THEN 1 ELSE 0 END, pos))).v AS {c}" for c in ("description", "remediation", "cve", "cvss")) + ", count(*) AS merged_rows FROM nk GROUP BY report_id, name_key, anon"),
     "named_assets": d.q(f"{d.RAW}, {_NAME_KEYED}, ex AS (SELECT report_id, name_key, anon, pos, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS asset FROM (SELECT *, list_transform(regexp_split_to_array(coalesce(affected_assets, ''), '[,\\n;]+'), lambda x: {d.sq('x')}) AS l FROM nk))",
         "SELECT report_id, name_key, anon, arg_min(asset, row(pos, i)) AS asset, min(pos) AS first_pos FROM ex WHERE asset <> '' GROUP BY report_id, name_key, anon, lower(asset)"),
-    "normalise_raw": d.q(f"{d.RAW}, nr AS (SELECT pos, {d.squeeze('name')} AS name, CASE WHEN {d.sq(d.oe('severity'))} = '' THEN 'Medium' ELSE {d.lookup(f"lower({d.sq(d.oe('severity'))})", fixed.CANONICAL_SEVERITY)} END AS severity, {_ASSETS} AS a, concat_ws(' ', description, CASE WHEN pos % 2 = 0 THEN 'Seen on 10.9.8.7:22 and db1.corp.example.' END) AS dsc FROM raw_findings), "
-        r"""nx AS (SELECT pos, name, severity, list_concat(a, regexp_extract_all(dsc, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]+)?\b'), regexp_extract_all(dsc, '\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}(?::[0-9]+)?\b')) AS l FROM nr)""".replace("\\", "\"),
-        "SELECT pos, name, severity, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ', ') AS assets FROM nx"),
+    "normalise_raw": d.q(f"{d.RAW}, {_NORM_RAW}", "SELECT pos, name, severity, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ', ') AS assets FROM nx"),
     "union_scans": d.q(d.SCAN, """SELECT report_id, count(*) AS n, count(CASE WHEN report_id IN ('3','4') THEN reference END) AS refs,
         count(CASE WHEN report_id IN ('3','4') THEN cvss END) AS cvss, count(CASE WHEN report_id IN ('0','1','2') THEN observation END) AS obs FROM scan_rows GROUP BY report_id"""),
     "gap_analysis": d.q(_SIDES, "SELECT name, 'a_only' AS side FROM a WHERE name NOT IN (SELECT name FROM b) UNION ALL SELECT name, 'b_only' FROM b WHERE name NOT IN (SELECT name FROM a)"),
