@@ -203,7 +203,9 @@ def request_payloads(spark, sf):
     f = findings(spark, sf)
     numbered = r.batch_rows(f, ["report_id"], "first_row")
     ids = E.epss_text(E.join_epss(E.finding_cves(f), epss(spark, sf)))
-    return R.request_payloads(numbered.join(ids, ["report_id", "id"], "left"), ["report_id", "id", "batch_no"])
+    return R.request_payloads(
+        numbered.join(ids, ["report_id", "id"], "left"), ["report_id", "id", "batch_no"]
+    ).drop("restore_map")
 
 
 def _scored_input(spark, sf):
@@ -379,6 +381,8 @@ ORACLE = {
        (SELECT report_id, coalesce(remediation, '') <> '' AND coalesce(reference, '') <> '' AND (contains(reference, 'http') OR lower(reference) NOT IN {d.inlist(fixed.STOCK_REFERENCES)}) AS ok FROM labelled) GROUP BY report_id"""),
     "ready_first": d.q(d.PRESENT, "SELECT report_id, id, reference IS NULL AS pending FROM labelled"),
     "catalog_stats": d.q(_RK, "SELECT 'cves' AS catalog, count(*) AS rows, NULL::BIGINT AS high_quality FROM cves UNION ALL SELECT 'epss', count(*), NULL FROM epss UNION ALL SELECT 'recommendations', count(*), count(*) FILTER (quality_score >= 0.8) FROM st"),
+    "request_payloads": d.q(_BASE + ", ep AS (SELECT report_id, id, coalesce(string_agg(concat(cve, ': ', format('{:.2f}', round(epss * 100, 2)), '% (', CASE WHEN epss >= 0.7 THEN 'very high' WHEN epss >= 0.4 THEN 'high' WHEN epss >= 0.1 THEN 'medium' WHEN epss >= 0.01 THEN 'low' ELSE 'very low' END, ')'), '; ' ORDER BY ord) FILTER (epss IS NOT NULL), 'unknown') AS e FROM fc LEFT JOIN epss USING (cve) GROUP BY report_id, id), nb AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY first_row) - 1 AS i FROM labelled)",
+        "SELECT nb.report_id, nb.id, i // 5 AS batch_no, CASE WHEN e IS NULL THEN to_json(struct_pack(item_key := concat('f', i), severity := severity, title := name, description := trim(coalesce(description, '')))) ELSE to_json(struct_pack(item_key := concat('f', i), severity := severity, title := name, description := trim(coalesce(description, '')), epss_text := e)) END AS payload FROM nb LEFT JOIN ep ON ep.report_id = nb.report_id AND ep.id = nb.id"),
     "quality_scores": d.q(_SCORED, "SELECT doc_id, overall, length_score, remediation_tiers, specificity, flags FROM scored"),
     "quality_failing": d.q(_SCORED, "SELECT doc_id, overall FROM scored WHERE overall < 0.55"),
     "quality_summary": d.q(_SCORED, "SELECT source, count(*) AS count, round(avg(overall), 3) AS mean, round(1 - count(*) FILTER (overall < 0.55) / count(*)::DOUBLE, 3) AS pass_rate, count(*) FILTER (overall < 0.55) AS failing FROM scored GROUP BY source"),

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from queries import duck as d
 from queries import enrichment as X
+from queries import text as T
+from queries.scan import _FUZZY
 from queries.views import view
 from scanlake.operators import rollup as r
 from scanlake.plans.enrichment import Catalogs
@@ -30,8 +32,7 @@ def _report(spark, sf):
 
 def structured_report(spark, sf):
     return _report(spark, sf)["findings"].select(
-        "report_id", "id", "name", "severity", "cvss", "category", "taxonomy_family",
-        "subnet_key", "display_title", "display_control_name", "business_impact",
+        "report_id", "id", "name", "severity", "cvss", "category", "display_control_name",
         "asset_count", "affected_assets_short", "needs_lookup")
 
 
@@ -63,7 +64,36 @@ QUERIES = {
     "text_chunk_sizes": text_chunk_sizes,
 }
 
+_NAMES = ["name", "severity", "vuln_id", "cve", "cvss2", "description", "remediation", "reference",
+          "control_objective", "control_name"]
+_FILLED = " + ".join(f"(CASE WHEN {c} IS NULL THEN 0 ELSE 1 END)" for c in _NAMES)
+_HAY = "lower(concat_ws(' ', name, observation, risk_status, substr(coalesce(description, ''), 1, 200)))"
+_CHAIN = X._BASE.replace(d.PRESENT, d.GROUPED + """,
+labelled AS (SELECT *, NULL::VARCHAR AS category FROM grouped)""") + f""",
+wt2 AS (SELECT w.*, s.control_objective FROM wt w LEFT JOIN (SELECT cwe_id, control_objective FROM snap UNION ALL SELECT cwe_id, control_objective FROM lrn WHERE cwe_id NOT IN (SELECT cwe_id FROM snap)) s USING (cwe_id)),
+fw1 AS (SELECT report_id, id, arg_min(struct_pack(v := control_objective), ord).v AS control_objective, arg_min(control_name, ord) AS control_name FROM wk JOIN wt2 USING (cwe_id) GROUP BY report_id, id),
+fc1 AS (SELECT report_id, id, arg_min(cvss, ord) AS c FROM hit GROUP BY report_id, id),
+enr AS (SELECT l.* EXCLUDE (category), coalesce(CAST(fc1.c AS VARCHAR), l.cvss) AS cvss2, nullif(control_objective, '') AS control_objective, nullif(control_name, '') AS control_name,
+  TRY_CAST(nullif(regexp_extract(coalesce(vuln_id, ''), '([0-9]+)', 1), '') AS BIGINT) AS vk
+  FROM labelled l LEFT JOIN fw1 ON fw1.report_id = l.report_id AND fw1.id = l.id LEFT JOIN fc1 ON fc1.report_id = l.report_id AND fc1.id = l.id),
+al AS (SELECT report_id, group_name, status_family, string_agg(asset, '|' ORDER BY asset) AS alist FROM assets GROUP BY ALL),
+keyed AS (SELECT e.*, CASE WHEN vk IS NOT NULL THEN concat('v', vk) ELSE concat('f', {d.key('name')}, chr(31), coalesce(alist, ''), chr(31), {d.key("substr(coalesce(description, ''), 1, 300)")}) END AS gk,
+  CASE WHEN vk IS NOT NULL THEN status_family ELSE '' END AS gf, CASE WHEN vk IS NOT NULL THEN {_FILLED} ELSE 0 END AS nf, CASE WHEN vk IS NOT NULL THEN length(coalesce(description, '')) ELSE 0 END AS dl
+  FROM enr e LEFT JOIN al USING (report_id, group_name, status_family)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY report_id, gk, gf ORDER BY nf DESC, dl DESC, first_row) AS rn FROM keyed),
+own AS (SELECT report_id, gk, gf, id AS kept FROM rk WHERE rn = 1),
+ka AS (SELECT DISTINCT a.report_id, kept AS id, asset FROM rk JOIN own USING (report_id, gk, gf) JOIN assets a ON a.report_id = rk.report_id AND a.group_name = rk.group_name AND a.status_family = rk.status_family),
+kn AS (SELECT report_id, id, any_value(n) AS asset_count, string_agg(asset, ', ' ORDER BY asset) FILTER (r <= 10) AS shown FROM (SELECT *, row_number() OVER (PARTITION BY report_id, id ORDER BY asset) AS r, count(*) OVER (PARTITION BY report_id, id) AS n FROM ka) GROUP BY report_id, id),
+ks AS (SELECT report_id, group_name, status_family, count(DISTINCT regexp_extract(asset, '^([0-9]+\\.[0-9]+\\.[0-9]+)\\.', 1)) AS nn, min(regexp_extract(asset, '^([0-9]+\\.[0-9]+\\.[0-9]+)\\.', 1)) AS net FROM assets GROUP BY ALL),
+flag AS (SELECT *, (NOT {d.fp_review(d.key(_HAY))} AND ({d.anyc(_HAY, fixed.FP_TOKENS)} OR {_FUZZY.replace('raw_name', 'name')})) OR lower(trim(risk_status)) IN {d.inlist(fixed.ACCEPTED_RISK)}
+   OR trim(coalesce(cvss2, '')) IN {d.inlist(fixed.ZERO_CVSS)} OR lower(trim(observation)) = 'informational' OR severity = 'Informational' AS is_fp FROM rk WHERE rn = 1)"""
+
 ORACLE = {
+    "structured_report": d.q(_CHAIN, """SELECT f.report_id, f.id, name, severity, cvss2 AS cvss, CASE WHEN nn = 1 THEN concat('Internal Network - ', net, '.0/24') ELSE 'Internal Network - Multiple Subnets' END AS category,
+      coalesce(control_name, 'Vulnerability Remediation') AS display_control_name, kn.asset_count, CASE WHEN kn.asset_count <= 10 THEN shown ELSE concat(shown, ', … and ', kn.asset_count - 10, ' more') END AS affected_assets_short, TRUE AS needs_lookup
+      FROM flag f JOIN kn ON kn.report_id = f.report_id AND kn.id = f.id JOIN ks ON ks.report_id = f.report_id AND ks.group_name = f.group_name AND ks.status_family = f.status_family WHERE NOT is_fp"""),
+    "structured_false_positives": d.q(_CHAIN, "SELECT report_id, id, name FROM flag WHERE is_fp"),
+    "text_chunk_sizes": d.q(T._CHUNKED, "SELECT doc_id, count(*) AS chunks, sum(length(chunk)) AS chars FROM allch GROUP BY doc_id"),
     "text_report": d.q(
         f"""{d.REPLIES}, ok AS (SELECT * FROM responses JOIN conversations USING (conv_id, turn) WHERE turn % 7 <> 3),
         it AS (SELECT conv_id, turn, 0 AS item, concat(role, ' issue') AS name, 'High' AS severity FROM ok UNION ALL SELECT conv_id, turn, 1, concat('turn ', turn), 'Low' FROM ok),

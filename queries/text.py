@@ -205,6 +205,17 @@ b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS
 bc AS (SELECT t.doc_id, count(b.line_no) AS n, any_value({_W.format(x='text')}) AS w FROM scan_texts t LEFT JOIN b USING (doc_id) GROUP BY t.doc_id),
 sized AS (SELECT *, len(w) AS nw, greatest(800, len(w) // greatest(1, len(w) // 2000)) AS size FROM bc)"""
 
+_CHUNKED = _CLEAN.replace("l AS (SELECT doc_id, unnest", "l0 AS (SELECT doc_id, unnest").replace("FROM l)", "FROM l0)") + f""",
+l AS (SELECT doc_id, unnest(range(0, len(x))) AS line_no, unnest(x) AS line FROM
+ (SELECT doc_id, string_split(CASE WHEN ends_with(text, {_NL}) THEN substr(text, 1, length(text) - 1) ELSE text END, {_NL}) AS x FROM cleaned WHERE text <> '')),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS bn FROM l WHERE regexp_matches(line, {_rx(fixed.BOUNDARY_PATTERNS)})),
+bc AS (SELECT t.doc_id, count(b.line_no) AS n, any_value({_W.format(x='text')}) AS w FROM cleaned t LEFT JOIN b USING (doc_id) GROUP BY t.doc_id),
+sized AS (SELECT *, len(w) AS nw, greatest(800, len(w) // greatest(1, len(w) // 2000)) AS size FROM bc),
+ch AS (SELECT l.doc_id, l.line_no, l.line, (SELECT max(bn) FROM b WHERE b.doc_id = l.doc_id AND b.line_no <= l.line_no) // 6 AS c FROM l JOIN sized USING (doc_id) WHERE n >= 3),
+allch AS (SELECT doc_id, {d.sq(f'string_agg(line, {_NL} ORDER BY line_no)')} AS chunk FROM ch WHERE c IS NOT NULL GROUP BY doc_id, c
+ UNION ALL SELECT doc_id, array_to_string(w[i * size + 1:(i + 1) * size], ' ') FROM (SELECT *, unnest(range(0, CAST(ceil(nw / size::DOUBLE) AS BIGINT))) AS i FROM sized WHERE n < 3 AND nw > 0)
+ UNION ALL SELECT t.doc_id, t.text FROM cleaned t JOIN sized USING (doc_id) WHERE n < 3 AND nw = 0)"""
+
 _PUBLIC = "regexp_matches({h}, '^(?:.*[.])?(?:" + "|".join(x.replace(".", "[.]") for x in fixed.PUBLIC_DOMAINS) + ")$')"
 _SCHEMA = "regexp_matches({h}, '^(?:[a-z_]+\\.)+(?:" + "|".join(fixed.SCHEMA_SUFFIXES) + ")$')"
 _PRIVATE = "(NOT " + _SCHEMA.format(h="lower(v)") + " AND NOT " + _PUBLIC.format(h="lower(v)") + ")"
