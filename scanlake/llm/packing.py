@@ -20,6 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -29,38 +30,48 @@ from scanlake.llm.common import in_slices, stage, whole_text
 
 CAPACITY = 2048
 END = 1
-#: A blank or line feed starts a unit where the tokenizer's own cut falls as well.
-_UNITS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: Other white space, or a special token's text: such texts go to the tokenizer whole.
-_OTHER = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|<\|endoftext\|>")
-_KNOWN: dict[str, bytes] = {}
-_KNOWN_MOST = 400_000
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: The tokenizer's own cut into pieces, for texts of the characters below.
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
+#: Other characters: such texts, and those that spell a special token, go to the tokenizer whole.
+_OTHER = re.compile(rf"[^\n -~{_LETTER}]")
+_SPECIAL = "<|endoftext|>"
+#: Pieces already encoded: those met lately, and those before them.
+_KNOWN: list[dict[str, bytes]] = [{}, {}]
+_KNOWN_MOST = 500_000
 _TOKENIZER: dict[str, object] = {}
 
 
 def encoder(path: str):
-    """text -> token ids as little-endian unsigned 32-bit integers; repeated units are looked up."""
+    """text -> token ids as little-endian unsigned 32-bit integers; pieces that repeat are looked up."""
     from tokenizers import Tokenizer
 
     if path not in _TOKENIZER:
         _TOKENIZER.clear()
-        _KNOWN.clear()
+        _KNOWN[:] = [{}, {}]
         _TOKENIZER[path] = Tokenizer.from_file(path)
     tok = _TOKENIZER[path]
-    pack = lambda ids: b"".join(i.to_bytes(4, "little") for i in ids)
 
     def encode(text: str) -> bytes:
-        if _OTHER.search(text):
-            return pack(tok.encode(text, add_special_tokens=False).ids)
-        units = _UNITS.findall(text)
-        new = [u for u in set(units) if u not in _KNOWN]
-        if new:
-            if len(_KNOWN) + len(new) > _KNOWN_MOST:
-                _KNOWN.clear()
-                new = list(set(units))
-            for u, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                _KNOWN[u] = pack(e.ids)
-        return b"".join(map(_KNOWN.__getitem__, units))
+        if _OTHER.search(text) or _SPECIAL in text:
+            return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        found = _PIECES.findall(text)
+        late, early = _KNOWN
+        missing = [u for u in dict.fromkeys(found) if u not in late]
+        if missing:
+            if len(late) > _KNOWN_MOST:
+                _KNOWN[:] = [{}, late]
+                late, early = _KNOWN
+                missing = list(dict.fromkeys(found))
+            new = []
+            for u in missing:
+                if (known := early.get(u)) is None:
+                    new.append(u)
+                else:
+                    late[u] = known
+            for u, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False) if new else (), strict=True):
+                late[u] = np.array(e.ids, "<u4").tobytes()
+        return b"".join(map(late.__getitem__, found))
 
     return encode
 
