@@ -49,9 +49,11 @@ def whole_text(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
-def content_key(*cols: Column) -> Column:
-    """16 bytes that stand for the values: rows with equal values share it, others do not."""
-    return F.unhex(F.md5(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)]))))
+def content_key(id_col: Column, text: Column) -> Column:
+    """16 bytes that stand for a row's id and text: rows equal in both share it, others do not."""
+    known = F.coalesce(id_col.cast("string"), F.lit(""))
+    kind = F.concat(id_col.isNull().cast("string"), text.isNull().cast("string"), F.length(known).cast("string"), F.lit(":"))
+    return F.unhex(F.md5(F.concat(kind, known, F.coalesce(text.cast("string"), F.lit("")))))
 
 
 def text_key(text: Column) -> Column:

@@ -10,7 +10,10 @@ equality: few edits would turn it into any other.  Blank lines stay.
    that many even segments, filed under (length, segment number, content).  A line looks up
    its own substrings for partner lengths from its own down to EDITS less, at the few places
    where a segment can stand (multi-match-aware selection), 12 keys at two edits.
-3. Candidates are verified by Spark's `levenshtein` with a threshold, which computes the
+3. Most keys are rare, and the lines that meet there are candidates.  A key that more than
+   HOT lines are filed under (many variants of one line) would make pairs without end: its
+   lines are joined with their texts instead, and only pairs that pass leave the join.
+4. Candidates are verified by Spark's `levenshtein` with a threshold, which computes the
    band around the diagonal alone.  (Its inner step is not bit-parallel: SQL functions have
    no wide bit vectors, and an aggregate over characters would cost more than the band.)
 
@@ -27,6 +30,7 @@ from scanlake.llm.common import content_key, stage, whole_text
 
 EDITS = 2
 SHORT = 32
+HOT = 16
 
 
 def segment(length: Column, i: int, parts: int = EDITS + 1) -> tuple[Column, Column]:
@@ -69,33 +73,55 @@ def pick(docs: DataFrame, places: DataFrame) -> DataFrame:
     return lines.select("k", F.inline(took))
 
 
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(k, text) of the documents, and (k, keep): the places of the lines that stay, in order."""
+def near_lines(d: DataFrame, first: DataFrame) -> DataFrame:
+    """k, pos of the lines that have an earlier line within EDITS edits; d: (k, text), first: first occurrences."""
+    some = pick(d, first.filter(F.col("n") >= SHORT).select("k", "pos", "id"))
+    filed = some.select("id", F.explode(F.array(*segment_keys(F.col("line")))).alias("key"))
+    asked = some.select(F.col("id").alias("by"), F.explode(F.array(*probe_keys(F.col("line")))).alias("key"))
+    hot = filed.groupBy("key").agg(F.count("*").alias("lines")).filter(F.col("lines") > HOT)
+    rare = filed.join(hot, "key", "left_anti").join(asked, "key").filter("id <> by")
+    pairs = rare.select(F.least("id", "by").alias("a"), F.greatest("id", "by").alias("b")).distinct()
+
+    def with_text(ids: DataFrame) -> DataFrame:
+        return pick(d, first.join(ids, "id").select("k", "pos", "id", "doc_id")).distinct()
+
+    def side(texts: DataFrame, p: str) -> DataFrame:
+        return texts.select(F.col("id").alias(p), F.struct("doc_id", "k", "pos").alias(f"{p}_at"), F.col("line").alias(f"{p}_line"))
+
+    close = F.levenshtein("a_line", "b_line", EDITS).between(0, EDITS)
+    texts = with_text(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    near = pairs.join(side(texts, "a"), "a").join(side(texts, "b"), "b").filter(close).select("a_at", "b_at")
+    filed_hot, asked_hot = filed.join(hot.select("key"), "key").distinct(), asked.join(hot.select("key"), "key").distinct()
+    hot_texts = with_text(filed_hot.select("id").union(asked_hot.select("by")).distinct())
+    left, right = filed_hot.withColumnRenamed("id", "a").join(side(hot_texts, "a"), "a"), asked_hot.withColumnRenamed("by", "b").join(side(hot_texts, "b"), "b")
+    near_hot = left.join(right, (left["key"] == right["key"]) & (left["a"] != right["b"]) & close).select("a_at", "b_at")
+    return near.union(near_hot).select(F.greatest("a_at", "b_at").alias("g")).select("g.k", "g.pos").distinct()
+
+
+def kept_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """k (content key of a row), n_lines, n_kept, kept (the lines that stay)."""
     d = docs.select(content_key(F.col(id_col), F.col(text)).alias("k"), F.col(id_col).alias("doc_id"), whole_text(text).alias("text"))
     lines = d.select("k", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     seen = lines.filter(F.trim("line") != "").groupBy(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(17), "line").alias("id2"))
     first = stage(seen.agg(F.min(F.struct("doc_id", "k", "pos")).alias("f"), F.min(F.length("line")).alias("n")).select("id", "f.doc_id", "f.k", "f.pos", "n"), "lines")
+    # one plan from here on: the texts are shuffled by k once and read three times
     d = d.select("k", "text")
-    some = pick(d, first.filter(F.col("n") >= SHORT).select("k", "pos", "id"))
-    filed = some.select("id", F.explode(F.array(*segment_keys(F.col("line")))).alias("key"))
-    asked = some.select(F.col("id").alias("by"), F.explode(F.array(*probe_keys(F.col("line")))).alias("key"))
-    met = filed.join(asked, "key").filter("id <> by").select(F.least("id", "by").alias("a"), F.greatest("id", "by").alias("b")).distinct()
-    pairs = stage(met, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stage(pick(d, first.join(ids, "id").select("k", "pos", "id", "doc_id")).distinct(), "candidates")
-    side = lambda p: texts.select(F.col("id").alias(p), F.struct("doc_id", "k", "pos").alias(f"{p}_at"), F.col("line").alias(f"{p}_line"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.levenshtein("a_line", "b_line", EDITS).between(0, EDITS))
-    gone = near.select(F.greatest("a_at", "b_at").alias("g")).select("g.k", "g.pos").distinct()
-    blank = lines.filter(F.trim("line") == "").select("k", "pos").distinct()
-    stays = first.select("k", "pos").join(gone, ["k", "pos"], "left_anti").union(blank)
-    return d, stays.groupBy("k").agg(F.array_sort(F.collect_set("pos")).alias("keep"))
+    stays = first.select("k", "pos").join(near_lines(d, first), ["k", "pos"], "left_anti")
+    keep = stays.groupBy("k").agg(F.collect_set("pos").alias("keep"))
+    every = F.split("text", "\n")
+    rows = d.join(keep, "k", "left").select("k", every.alias("lines"), "keep")
+    blank = F.filter(F.transform("lines", lambda x, i: F.when(F.trim(x) == "", i)), lambda i: i.isNotNull())
+    at = F.array_sort(F.concat(F.coalesce("keep", F.array().cast("array<int>")), blank))
+    rows = rows.select("k", "lines", at.alias("at")).select(
+        "k", F.size("lines").alias("n_lines"), F.size("at").alias("n_kept"), F.array_join(F.transform("at", lambda p: F.element_at(F.col("lines"), p + 1)), "\n").alias("kept"))
+    return rows.dropDuplicates(["k"])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with their columns; the text holds the lines that stay."""
-    _, keep = kept_lines(docs, id_col, text)
-    rows = docs.withColumn("_k", content_key(F.col(id_col), F.col(text))).join(keep.withColumnRenamed("k", "_k"), "_k", "left")
-    lines = F.split(whole_text(text), "\n")
-    joined = F.array_join(F.transform(F.coalesce("keep", F.array().cast("array<int>")), lambda p: F.element_at(F.col("_lines"), p + 1)), "\n")
-    rows = rows.withColumn("_lines", lines).withColumn(text, F.when(F.col(text).isNotNull(), joined))
-    return rows.withColumn("_n", F.size("_lines")).select(*docs.columns, F.col("_n").alias("n_lines"), F.coalesce(F.size("keep"), F.lit(0)).alias("n_kept"))
+    kept = kept_texts(docs, id_col, text)
+    other = [c for c in docs.columns if c != text]
+    rows = docs.select(*other, F.col(text).isNull().alias("_null"), content_key(F.col(id_col), F.col(text)).alias("_k"))
+    rows = rows.join(kept.withColumnRenamed("k", "_k").withColumnsRenamed({"n_lines": "_lines", "n_kept": "_kept", "kept": "_text"}), "_k")
+    whole = F.when(~F.col("_null"), F.col("_text")).alias(text)
+    return rows.select(*[whole if c == text else F.col(c) for c in docs.columns], F.col("_lines").alias("n_lines"), F.col("_kept").alias("n_kept"))

@@ -16,6 +16,7 @@ each for itself.  A text that spells a special token is encoded as the tokenizer
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -44,6 +45,7 @@ _TOKENIZER: dict[str, object] = {}
 
 def encoder(path: str):
     """text -> token ids as little-endian unsigned 32-bit integers; pieces that repeat are looked up."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
     from tokenizers import Tokenizer
 
     if path not in _TOKENIZER:
