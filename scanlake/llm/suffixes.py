@@ -8,10 +8,10 @@ out, and the others go on until the threshold is reached.  A rank only has to te
 from unequal, so the 64-bit name of a string serves as its rank, and Spark brings equal
 pairs together.
 
-Round one does not need every start.  In every window of least/2 starts one *anchor* is
+Round one does not need every start.  In every window of least/4 starts one *anchor* is
 chosen by its content (the least hash, the last of equals), so that equal strings choose
 the same one.  All starts of an anchor form its zone.  Anchors are ranked by the pair of
-names at 0 and least/4 of the next least/2 bytes; unique ones drop out with their zones.
+names at 0 and 3/8 of `least`, 3/4 of it together; unique ones drop out with their zones.
 If the whole text that a zone's starts cover stands elsewhere too, the zone needs no
 further round: all its starts are repeated.  Only in the other zones, at the ends of
 repeats, each start goes through the last round by itself, with the pair of names at 0
@@ -66,6 +66,12 @@ class Names:
         return h ^ (h >> np.uint64(29))
 
 
+def paired(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """A pair of ranks as one number, which is the rank of the longer string."""
+    h = (one ^ (two << np.uint64(23) | two >> np.uint64(41))) * np.uint64(0x9FB21C651E98DF25)
+    return (h ^ (h >> np.uint64(35))) + two
+
+
 def sliding_last_least(values: np.ndarray, w: int) -> np.ndarray:
     """For each window of w values the place of the least one, the last of equals."""
     n = len(values)
@@ -88,7 +94,7 @@ class Zones:
     def __init__(self, raw: np.ndarray, borders: np.ndarray, least: int):
         self.raw, self.borders, self.least = raw, borders, least
         self.names = Names(raw)
-        half = least // 2
+        window = least // 4
         n = len(raw)
         size = np.diff(borders)
         starts = np.zeros(n + 1, np.int64)  # +1 where a text's starts begin, -1 where they end
@@ -100,7 +106,7 @@ class Zones:
             self.row = self.anchor = self.lo = self.hi = np.zeros(0, np.int64)
             return
         grams = self.names(np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
-        chosen = sliding_last_least(grams, half)[p]
+        chosen = sliding_last_least(grams, window)[p]
         row = np.searchsorted(borders, p, "right") - 1
         # empty texts share a border: the row found is the last one that begins there
         new = np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (row[1:] != row[:-1])])
@@ -110,11 +116,11 @@ class Zones:
 
     def ranks(self) -> tuple[np.ndarray, np.ndarray]:
         """Rank pair of each anchor as one name, and the name of all the zone's starts cover."""
-        q = self.least // 4
+        q = 3 * self.least // 8
         one, two = self.names(self.anchor, self.anchor + q), self.names(self.anchor + q, self.anchor + 2 * q)
         cover = self.names(self.lo, self.hi + self.least)
         shape = (self.anchor - self.lo).astype(np.uint64) << np.uint64(32) | (self.hi - self.lo).astype(np.uint64)
-        return one * np.uint64(3) + (two ^ (two >> np.uint64(7))), cover ^ (shape * np.uint64(_BASE))
+        return paired(one, two), cover ^ (shape * np.uint64(_BASE))
 
 
 def _zones(b: pa.RecordBatch, least: int) -> Zones:
@@ -146,7 +152,7 @@ def round_one(docs: DataFrame, text: str, least: int) -> DataFrame:
 
 
 def last_round(texts: DataFrame, least: int) -> DataFrame:
-    """key, place, r1, r2 of every start in the zones listed in `look` (covered strings)."""
+    """key, place and rank pair (as one name) of every start in the zones listed in `look` (covered strings)."""
     half = least // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,12 +166,11 @@ def last_round(texts: DataFrame, least: int) -> DataFrame:
             n = z.hi[at] - z.lo[at] + 1
             p = np.repeat(z.lo[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             row = np.repeat(z.row[at], n)
-            r1, r2 = z.names(p, p + half), z.names(p + half, p + least)
+            pair = paired(z.names(p, p + half), z.names(p + half, p + least))
             yield pa.RecordBatch.from_arrays(
-                [b.column("key").take(pa.array(row)), pa.array(p - z.borders[row]), pa.array(r1.view(np.int64)), pa.array(r2.view(np.int64))],
-                names=["key", "place", "r1", "r2"])
+                [b.column("key").take(pa.array(row)), pa.array((p - z.borders[row]).astype(np.int64)), pa.array(pair.view(np.int64))], names=["key", "place", "pair"])
 
-    return texts.mapInArrow(run, "key binary, place long, r1 long, r2 long")
+    return texts.mapInArrow(run, "key binary, place long, pair long")
 
 
 def listed(lists: pa.Array, row: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -178,29 +183,30 @@ def listed(lists: pa.Array, row: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(docs: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
-    """key, sure (covered strings of zones wholly repeated), places (single repeated starts)."""
+def found_repeats(docs: DataFrame, text: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """Texts (key, _text), and by key the sure (covered strings of zones wholly repeated) and places (single repeated starts)."""
     rows = stage(round_one(docs, text, least), "zones")
-    zones = rows.groupBy("rank", "cover").agg(F.sum("n").alias("n"), F.min("key").alias("key"))
-    ranks = zones.groupBy("rank").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("int")).alias("single"))
-    live = stage(zones.join(ranks.filter("all > 1"), "rank"), "live")
-    sure = rows.join(live.filter("n > 1").select("rank", "cover"), ["rank", "cover"]).groupBy("key").agg(F.collect_set("cover").alias("sure"))
-    look = live.filter("kinds > 1 and single > 0").groupBy("key").agg(F.collect_set("cover").alias("look"))
-    texts = _texts(docs, text).join(look, "key")
-    starts = stage(last_round(texts, least), "starts")
-    # a copy of a text yields the same (key, place): only different ones count
+    again = rows.groupBy("rank").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).select("rank")
+    live = stage(rows.join(again, "rank"), "live")
+    zones = live.groupBy("rank", "cover").agg(F.sum("n").alias("n"), F.min("key").alias("key"))
+    kinds = zones.groupBy("rank").agg(F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("int")).alias("single"))
+    sure = live.join(zones.filter("n > 1").select("rank", "cover"), ["rank", "cover"]).groupBy("key").agg(F.collect_set("cover").alias("sure"))
+    look = zones.join(kinds.filter("kinds > 1 and single > 0").select("rank"), "rank").groupBy("key").agg(F.collect_set("cover").alias("look"))
+    # one plan from here on: the texts are shuffled once and read twice, the starts as well
+    texts = _texts(docs, text)
+    starts = last_round(texts.join(look, "key"), least).repartition("pair")
+    # a copy of a text yields the same (key, place): only different ones count.  A text has
+    # each pair for few of its starts, so no pair can hold a large share of all starts
     who = F.xxhash64("key", "place")
-    pairs = starts.groupBy("r1", "r2").agg(F.min(who).alias("one"), F.max(who).alias("two")).filter("one <> two")
-    places = starts.join(pairs.select("r1", "r2"), ["r1", "r2"]).groupBy("key").agg(F.collect_set("place").alias("places"))
-    return sure.join(places, "key", "full")
+    pairs = starts.groupBy("pair").agg(F.min(who).alias("one"), F.max(who).alias("two")).filter("one <> two")
+    places = starts.join(pairs.select("pair"), "pair").groupBy("key").agg(F.collect_set("place").alias("places"))
+    return texts, sure.join(places, "key", "full")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), spans (first, end) removed."""
-    found = repeated(docs, text, least)
-    t = docs.select(F.col(id_col).alias("doc_id"), whole_text(text).alias("_text")).withColumn("key", text_key(F.col("_text")))
-    source = t.join(found, "key", "left").select("doc_id", "_text", "sure", "places")
-    kind = source.schema["doc_id"].dataType.simpleString()
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), spans (first, end) removed, kept_sha256."""
+    texts, found = found_repeats(docs, text, least)
+    source = texts.join(found, "key", "left").select("key", "_text", "sure", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches, "_text"):
@@ -226,8 +232,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 spans.append(edge.reshape(-1, 2).tolist())
             n = np.diff(borders)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n), pa.array([int(x) - len(k) for x, k in zip(n, kept)], pa.int64()), pa.array([len(s) for s in spans], pa.int64()),
+                [b.column("key"), pa.array(n), pa.array([int(x) - len(k) for x, k in zip(n, kept)], pa.int64()), pa.array([len(s) for s in spans], pa.int64()),
                  pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans", "kept_sha256"])
+                names=["key", "n_bytes", "n_removed", "n_spans", "kept", "spans", "kept_sha256"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<array<long>>, kept_sha256 string")
+    done = source.mapInArrow(run, "key binary, n_bytes long, n_removed long, n_spans long, kept binary, spans array<array<long>>, kept_sha256 string")
+    ids = docs.select(text_key(whole_text(text)).alias("key"), F.col(id_col).alias("doc_id"))
+    return ids.join(done.dropDuplicates(["key"]), "key").drop("key")
