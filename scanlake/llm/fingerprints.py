@@ -65,9 +65,14 @@ def fingerprint_columns(samples: DataFrame, *keys: str) -> DataFrame:
 
 
 def word_terms(texts: DataFrame, text: str, *keys: str) -> DataFrame:
-    """keys, term (hash of a word), w (its count)."""
-    words = texts.select(*keys, F.explode(F.split(F.col(text), r"\s+")).alias("word")).filter("word <> ''")
-    return words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.count("*").alias("w"))
+    """keys, term (hash of a word), w (its count): counted inside the row, by sorting its hashes."""
+    words = F.filter(F.split(F.col(text), r"\s+"), lambda x: x != "")
+    t = texts.select(*keys, F.sort_array(F.transform(words, lambda x: F.xxhash64(x))).alias("_h")).filter(F.size("_h") > 0)
+    h, n = F.col("_h"), F.size("_h")
+    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.element_at(h, i) != F.element_at(h, F.least(i + 1, n))))
+    t = t.select(*keys, "_h", ends.alias("_e"))
+    term = F.transform("_e", lambda e, j: F.struct(F.element_at(h, e).alias("term"), (e - F.when(j > 0, F.element_at(F.col("_e"), F.greatest(j, F.lit(1)))).otherwise(0)).alias("w")))
+    return t.select(*keys, F.inline(term))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -105,8 +110,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """doc_id, fingerprint for every document."""
     t = docs.select(F.col(id_col).alias("doc_id"), whole_text(text).alias("text")).withColumn("k", content_key(F.col("doc_id"), F.col("text")))
     m = t.groupBy("k", "doc_id").agg(F.count("*").alias("m"))
-    terms = word_terms(t, "text", "k").join(m.select("k", "m"), "k").select("k", "term", (F.col("w") / F.col("m")).alias("w"))
-    found = fingerprint_columns(term_samples(terms, "k"), "k")
+    found = fingerprint_columns(term_samples(word_terms(t, "text", "k"), "k"), "k")
     rows = m.select("k", "doc_id", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
     return rows.join(found, "k", "left").select("doc_id", F.coalesce("fingerprint", F.lit(EMPTY)).alias("fingerprint"))
 
@@ -117,14 +121,13 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     d = d.select(content_key(F.col("doc_id"), F.col("text")).alias("k"), "doc_id", "text")
     ids = d.groupBy("k", "doc_id").agg(F.count("*").alias("m"), F.max(F.length("text")).alias("n"))
     order = stage(neighbours(ids), "neighbours")
-    texts = d.select("k", "text").join(order.select("k", "n", "m", "prev_k", "prev_n"), "k")
+    texts = d.select("k", "text").join(order.select("k", "n", "prev_k", "prev_n"), "k")
     heads = texts.select(F.col("prev_k").alias("k"), F.expr("substring(text, 1, cast(prev_n div 4 as int))").alias("head")).dropDuplicates(["k"])
-    both = texts.select("k", "text", "n", "m").join(heads, "k")
-    both = both.select("k", "m", "text", F.concat(F.expr("substring(text, 1, cast(n - n div 4 as int))"), "head").alias("edited"))
-    sides = both.select("k", "m", F.inline(F.array(
+    both = texts.select("k", "text", "n").join(heads, "k")
+    both = both.select("k", "text", F.concat(F.expr("substring(text, 1, cast(n - n div 4 as int))"), "head").alias("edited"))
+    sides = both.select("k", F.inline(F.array(
         F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))))
-    # repeated rows repeat their words: m is their number
-    terms = word_terms(sides, "t", "k", "m", "side").select("k", "side", "term", (F.col("w") / F.col("m")).alias("w"))
+    terms = word_terms(sides, "t", "k", "side")  # a repeated row repeats terms, which leaves the minima as they are
     found = fingerprint_columns(term_samples(terms, "k", "side"), "k", "side").groupBy("k").agg(
         F.max(F.when(F.col("side") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("side") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
     sha = both.select("k", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256")).dropDuplicates(["k"])
