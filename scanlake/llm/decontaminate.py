@@ -1,6 +1,6 @@
 """Benchmark decontamination: CGK random walks, bit-sampling LSH, exact edit distance.
 
-A text is read as lower-case bytes with white space made blank.  A document leaks an item
+A text is read as bytes with A-Z made lower-case and white space made blank.  A document leaks an item
 if some part of it is within EDITS * length edits of the whole item.
 
 1. Windows.  A window starts at a word or where a run of grams (GRAM bytes) shared with the
