@@ -306,7 +306,7 @@ ct AS (SELECT report_id, ff.id, place, upper(split_part(value, ' ', 1)) AS contr
 _RK = f"""{_BASE},
 kk AS (SELECT f.report_id, f.id, string_agg(DISTINCT w.cwe_id, '|' ORDER BY w.cwe_id) AS cwe_key, lower(trim(any_value(f.severity))) AS severity_key, any_value(f.name) AS name, any_value(f.description) AS description FROM labelled f JOIN wk w ON w.report_id = f.report_id AND w.id = f.id GROUP BY f.report_id, f.id),
 cc AS (SELECT report_id, id, string_agg(DISTINCT cve, '|' ORDER BY cve) AS c FROM hit GROUP BY report_id, id),
-rk AS (SELECT kk.*, substr(sha256(concat(lower(trim(name)), '::', coalesce(c, ''), '::', substr(lower({d.sq(d.oe('description'))}), 1, 200))), 1, 16) AS title_hash, CAST(kk.report_id AS INT) * 100000 + CAST(regexp_extract(kk.id, '([0-9]+)', 1) AS INT) AS rec_id FROM kk LEFT JOIN cc ON cc.report_id = kk.report_id AND cc.id = kk.id),
+rk AS (SELECT kk.*, substr(sha256(concat(lower(trim(name)), '::', coalesce(c, ''), '::', lower({d.sq(d.oe('description'))}))), 1, 16) AS title_hash, CAST(kk.report_id AS INT) * 100000 + CAST(regexp_extract(kk.id, '([0-9]+)', 1) AS INT) AS rec_id FROM kk LEFT JOIN cc ON cc.report_id = kk.report_id AND cc.id = kk.id),
 st AS (SELECT *, (rec_id % 10) / 10.0::DOUBLE AS quality_score FROM rk WHERE rec_id % 3 <> 1),
 good AS (SELECT * FROM st WHERE quality_score >= 0.72)"""
 

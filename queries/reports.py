@@ -67,7 +67,7 @@ QUERIES = {
 _NAMES = ["name", "severity", "vuln_id", "cve", "cvss2", "description", "remediation", "reference",
           "control_objective", "control_name"]
 _FILLED = " + ".join(f"(CASE WHEN {c} IS NULL THEN 0 ELSE 1 END)" for c in _NAMES)
-_HAY = "lower(concat_ws(' ', name, observation, risk_status, substr(coalesce(description, ''), 1, 200)))"
+_HAY = "lower(concat_ws(' ', name, observation, risk_status, coalesce(description, '')))"
 _CHAIN = X._BASE.replace(d.PRESENT, d.GROUPED + """,
 labelled AS (SELECT *, NULL::VARCHAR AS category FROM grouped)""") + f""",
 wt2 AS (SELECT w.*, s.control_objective FROM wt w LEFT JOIN (SELECT cwe_id, control_objective FROM snap UNION ALL SELECT cwe_id, control_objective FROM lrn WHERE cwe_id NOT IN (SELECT cwe_id FROM snap)) s USING (cwe_id)),
@@ -77,7 +77,7 @@ enr AS (SELECT l.* EXCLUDE (category), coalesce(CAST(fc1.c AS VARCHAR), l.cvss)
   TRY_CAST(nullif(regexp_extract(coalesce(vuln_id, ''), '([0-9]+)', 1), '') AS BIGINT) AS vk
   FROM labelled l LEFT JOIN fw1 ON fw1.report_id = l.report_id AND fw1.id = l.id LEFT JOIN fc1 ON fc1.report_id = l.report_id AND fc1.id = l.id),
 al AS (SELECT report_id, group_name, status_family, string_agg(asset, '|' ORDER BY asset) AS alist FROM assets GROUP BY ALL),
-keyed AS (SELECT e.*, CASE WHEN vk IS NOT NULL THEN concat('v', vk) ELSE concat('f', {d.key('name')}, chr(31), coalesce(alist, ''), chr(31), {d.key("substr(coalesce(description, ''), 1, 300)")}) END AS gk,
+keyed AS (SELECT e.*, CASE WHEN vk IS NOT NULL THEN concat('v', vk) ELSE concat('f', {d.key('name')}, chr(31), coalesce(alist, ''), chr(31), {d.key("coalesce(description, '')")}) END AS gk,
   CASE WHEN vk IS NOT NULL THEN status_family ELSE '' END AS gf, CASE WHEN vk IS NOT NULL THEN {_FILLED} ELSE 0 END AS nf, CASE WHEN vk IS NOT NULL THEN length(coalesce(description, '')) ELSE 0 END AS dl
   FROM enr e LEFT JOIN al USING (report_id, group_name, status_family)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY report_id, gk, gf ORDER BY nf DESC, dl DESC, first_row) AS rn FROM keyed),

@@ -241,7 +241,7 @@ QUERIES = {
     "templates": templates,
 }
 
-_HAY200 = "lower(concat_ws(' ', coalesce(raw_name, ''), observation, risk_status, substr(coalesce(description, ''), 1, 200)))"
+_HAY200 = "lower(concat_ws(' ', coalesce(raw_name, ''), observation, risk_status, coalesce(description, '')))"
 _WINDOW = "regexp_replace(lower(raw_name), '[^a-z ]', ' ', 'g')"
 _FUZZY = (
     f"len(list_filter(range(1, greatest(1, length({_WINDOW}) - 13) + 1), lambda i: 2.0 * list_sum(list_transform(range(1, 15), "
@@ -354,7 +354,7 @@ ORACLE = {
          LEFT JOIN ex USING (report_id, vuln_key, status_family) WHERE rn = 1"""),
     "merged_assets": d.q(f"{d.RAW}, {_VKEY}", f"SELECT report_id, vuln_key, status_family, asset, min(pos) AS first_pos FROM (SELECT report_id, vuln_key, status_family, pos, unnest({_ASSETS}) AS asset FROM vk WHERE vuln_key IS NOT NULL) GROUP BY ALL"),
     "dedupe_fingerprint": d.q(f"{d.RAW}, {_VKEY}", f"""SELECT {', '.join(RAW_COLS)} FROM (SELECT *, row_number() OVER (PARTITION BY report_id, {d.key('name')},
-        {d.key(f"array_to_string({_ORDERED}, ', ')")}, {d.key("substr(coalesce(description, ''), 1, 300)")} ORDER BY pos) AS rn FROM vk WHERE vuln_key IS NULL) WHERE rn = 1"""),
+        {d.key(f"array_to_string({_ORDERED}, ', ')")}, {d.key("coalesce(description, '')")} ORDER BY pos) AS rn FROM vk WHERE vuln_key IS NULL) WHERE rn = 1"""),
     "dedupe_name": d.q(f"{d.RAW}, {_NAME_KEYED}", "SELECT report_id, min(pos) AS pos, arg_min(name, pos) AS name, arg_min(severity, pos) AS severity, " + ", ".join(
         f"(arg_min(struct_pack(v := {c}), row(CASE WHEN coalesce({c}, '') = '' THEN 1 ELSE 0 END, pos))).v AS {c}" for c in ("description", "remediation", "cve", "cvss")) + ", count(*) AS merged_rows FROM nk GROUP BY report_id, name_key, anon"),
     "named_assets": d.q(f"{d.RAW}, {_NAME_KEYED}, ex AS (SELECT report_id, name_key, anon, pos, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS asset FROM (SELECT *, list_transform(regexp_split_to_array(coalesce(affected_assets, ''), '[,\\n;]+'), lambda x: {d.sq('x')}) AS l FROM nk))",

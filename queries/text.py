@@ -56,7 +56,7 @@ def report_texts(spark, sf):
     return t.select(
         "doc_id", F.md5("_r").alias("digest"), F.length("_r").alias("n"),
         trim_text(F.col("text"), 220).alias("trimmed"),
-        slug(F.substring("text", 1, 60)).alias("slug"),
+        slug(F.col("text")).alias("slug"),
         F.md5(truncate_words(F.col("text"), 50)).alias("head"),
     )
 
@@ -129,7 +129,7 @@ def rank_refs(spark, sf):
 def similar_documents(spark, sf):
     q = table(spark, sf, "benchmark")
     return m.similar(q, documents(spark, sf), "item_id", "doc_id", k=3, minimum=0.10,
-                     max_terms=8000)
+                     max_terms=None)
 
 
 def nearest_control(spark, sf):
@@ -156,7 +156,7 @@ def _runs(spark, sf):
     return documents(spark, sf).select(
         F.col("source").alias("key"), "lang",
         F.floor(F.col("n_chars") / 1000).cast("string").alias("size"),
-        F.substring("text", 1, 12).alias("head"))
+        F.md5("text").alias("head"))
 
 
 QUERIES = {
@@ -279,7 +279,7 @@ def _tfidf(q: str, qk: str, c: str, ck: str, k: int, minimum: float, cap: int |
     SELECT {qk}, {ck}, score{', place' if k > 1 else ''} FROM (SELECT *, row_number() OVER (PARTITION BY {qk} ORDER BY score DESC, {ck}) AS place FROM sc WHERE score >= {minimum}) WHERE place <= {k}"""
 
 
-_RUNS = "runs AS (SELECT trim(lower(source)) AS key, lang, CAST(n_chars // 1000 AS VARCHAR) AS size, substr(text, 1, 12) AS head FROM documents), vals AS (" + " UNION ".join(
+_RUNS = "runs AS (SELECT trim(lower(source)) AS key, lang, CAST(n_chars // 1000 AS VARCHAR) AS size, md5(text) AS head FROM documents), vals AS (" + " UNION ".join(
     f"SELECT key, '{c}' AS field, {d.sq(d.oe(c))} AS value FROM runs" for c in ("lang", "size", "head")) + ")"
 _NOISY_VIS = "regexp_replace({s}, '\\s', '', 'g')"
 
@@ -311,7 +311,7 @@ ORACLE = {
       "SELECT doc_id, len(w0) AS words_before, len(w) AS words_after, len(w) > 300 AS truncated, md5(CASE WHEN len(w) > 300 THEN array_to_string(w[1:300], ' ') ELSE text END) AS digest FROM ww"),
     "report_texts": d.q(d.TEXTS + f", rt AS (SELECT doc_id, text, array_to_string({_RT.format(t='text')}, chr(10)) AS r, {_W.format(x='text')} AS w FROM scan_texts)",
       f"""SELECT doc_id, md5(r) AS digest, length(r) AS n, CASE WHEN length({d.sq('text')}) <= 220 THEN {d.sq('text')} ELSE concat(rtrim(substr({d.sq('text')}, 1, 217)), '...') END AS trimmed,
-       trim(regexp_replace(lower(regexp_replace(strip_accents(substr(text, 1, 60)), '[^\\x00-\\x7f]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
+       trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7f]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
        md5(CASE WHEN len(w) <= 50 THEN text ELSE array_to_string(w[1:50], ' ') END) AS head FROM rt"""),
     "evidence_lines": f"""SELECT doc_id, NOT {d.placeholder('array_to_string(ls, chr(10))')} AND ({d.anyc('lower(array_to_string(ls, chr(10)))', fixed.EVIDENCE_MARKERS)}
        OR len(list_filter(ls, lambda x: regexp_matches(lower(x), '^(?:{'|'.join(fixed.EVIDENCE_PREFIXES)})'))) >= 2 OR len(list_filter(ls, lambda x: {_noisy('x')})) > 0) AS evidence FROM {_EV}""",
@@ -323,7 +323,7 @@ ORACLE = {
     "page_refs": f"SELECT page_id, url, {_HOST.format(u='url')} AS host, {_CANON.format(u='url')} AS canonical, {_PRIO.format(u='url')} AS priority, {_PUBURL.format(u='url')} AS public FROM pages",
     "canonical_refs": d.q(_REFS, "SELECT page_id, i, title, url FROM refs"),
     "rank_refs": d.q(_REFS, "SELECT page_id, i, title, url FROM rk WHERE i < 10"),
-    "similar_documents": _tfidf("benchmark", "item_id", "documents", "doc_id", 3, 0.10, 8000),
+    "similar_documents": _tfidf("benchmark", "item_id", "documents", "doc_id", 3, 0.10, None),
     "nearest_control": _tfidf("documents", "doc_id", "benchmark", "item_id", 1, 0.30, None),
     "determinism_audit": d.q(_RUNS, "SELECT key, field, count(*) AS distinct_values, array_to_string(list_sort(list(value))[1:3], ' | ') AS samples FROM vals GROUP BY key, field HAVING count(*) > 1"),
     "determinism_totals": d.q(_RUNS, "SELECT count(*) AS total_fields, count(*) FILTER (n > 1) AS varying_fields, round(100.0 * count(*) FILTER (n > 1) / count(*), 1) AS percent FROM (SELECT count(*) AS n FROM vals GROUP BY key, field)"),

@@ -60,16 +60,15 @@ def merged_assets(findings: DataFrame) -> DataFrame:
 
 
 def dedupe_by_fingerprint(findings: DataFrame) -> DataFrame:
-    """Rows without a vulnerability id: first per (name, assets, description start).
+    """Rows without a vulnerability id: first per (name, assets, description).
 
-    The description enters with its first 300 characters, as the fingerprint is
-    defined; the digest keeps the shuffle key short.
+    The whole description enters; the digest keeps the shuffle key short.
     """
     loose = vuln_key(findings).filter(F.col("vuln_key").isNull())
     parts = [
         key_text(F.col("name")),
         key_text(F.array_join(assets_array(F.col("affected_assets")), ", ")),
-        key_text(F.substring(or_empty(F.col("description")), 1, 300)),
+        key_text(or_empty(F.col("description"))),
     ]
     keyed = loose.withColumn("_fp", F.sha2(F.concat_ws("\x1f", *parts), 256))
     return first_k(keyed, ["report_id", "_fp"], [F.col("pos")], 1).drop("_fp", "_rank")

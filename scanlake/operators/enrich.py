@@ -31,9 +31,10 @@ def _text(df: DataFrame, fields: list[str]) -> Column:
 
 # --- CVE and EPSS ------------------------------------------------------------------
 
-def finding_cves(findings: DataFrame, limit: int = 3) -> DataFrame:
-    """(finding, ord, cve): the first `limit` ids named in a finding."""
-    ids = F.slice(I.extract_ids(_text(findings, CVE_FIELDS), I.CVE_STRICT), 1, limit)
+def finding_cves(findings: DataFrame, limit: int | None = None) -> DataFrame:
+    """(finding, ord, cve): the ids named in a finding, the first `limit` where one is stated."""
+    ids = I.extract_ids(_text(findings, CVE_FIELDS), I.CVE_STRICT)
+    ids = ids if limit is None else F.slice(ids, 1, limit)
     return findings.select(*KEYS, F.posexplode(ids).alias("ord", "cve"))
 
 
@@ -50,8 +51,9 @@ def join_epss(cve_rows: DataFrame, epss: DataFrame) -> DataFrame:
     return scored.withColumn("likelihood", epss_label(F.col("epss")))
 
 
-def epss_text(scored: DataFrame) -> DataFrame:
-    """Per finding 'CVE: 12.5% (medium); …'; at most three ids are gathered."""
+def epss_text(scored: DataFrame, shown: int = 3) -> DataFrame:
+    """Per finding 'CVE: 12.5% (medium); …' of its first `shown` ids; `scored` keeps all."""
+    scored = scored.filter(F.col("ord") < shown)
     part = F.concat(
         F.col("cve"), F.lit(": "),
         F.format_string("%.2f", F.round(F.col("epss") * 100, 2)), F.lit("% ("),
@@ -212,7 +214,7 @@ def enrich_controls(items: DataFrame, controls: DataFrame) -> DataFrame:
 def title_hash(title: Column, cves: Column, context: Column) -> Column:
     """First 16 hex digits of sha256(title::sorted cves::context), all normalised."""
     ids = F.array_join(F.array_sort(F.array_distinct(F.transform(cves, lambda c: F.upper(strip(c))))), "|")
-    ctx = F.substring(F.lower(strip(or_empty(context))), 1, 200)
+    ctx = F.lower(strip(or_empty(context)))
     payload = F.concat(F.lower(strip(or_empty(title))), F.lit("::"), ids, F.lit("::"), ctx)
     return F.substring(F.sha2(payload, 256), 1, 16)
 

@@ -40,7 +40,7 @@ def is_false_positive(name: Column, observation: Column, risk_status: Column,
     """Marked, fuzzily marked, accepted, zero-scored or informational findings."""
     hay = F.lower(F.concat_ws(
         " ", or_empty(name), or_empty(observation), or_empty(risk_status),
-        F.substring(or_empty(description), 1, 200),
+        or_empty(description),
     ))
     marked = any_contains(hay, fixed.FP_TOKENS) | fuzzy_fp(name)
     return (

@@ -58,7 +58,7 @@ def dedupe(findings: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame
     keyed = dd.vuln_key(findings).join(asset_digest(assets, ID_KEYS), ID_KEYS, "left")
     parts = F.concat_ws(
         "\x1f", key_text(F.col("name")), or_empty(F.col("asset_digest")),
-        key_text(F.substring(or_empty(F.col("description")), 1, 300)),
+        key_text(or_empty(F.col("description"))),
     )
     filled = F.lit(0)
     for c in COMPLETENESS:

@@ -50,10 +50,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by the session; a temporary one only where none is set."""
+    """Use the shared folder named by the session; one machine's temporary folder only in a local session."""
     if spark.sparkContext.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not (spark.sparkContext.master or "").startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="scanlake-ckpt-"))
 
 

@@ -143,3 +143,26 @@ def test_group_assignment_first_group_wins(spark):
     members = spark.createDataFrame([("r", 1, "1"), ("r", 3, "3")], "report_id string, group_pos int, id string")
     got = {x.id: x.group_pos for x in r.assign_to_groups(f, groups, members).collect()}
     assert got == {"1": 1, "2": 2, "3": 2, "4": None}
+
+
+def test_descriptions_count_whole(spark):
+    from scanlake.operators.dedupe import dedupe_by_fingerprint
+    from scanlake.operators.falsepos import is_false_positive
+    from pyspark.sql import functions as F
+
+    long = "x" * 400
+    rows = [("r", None, "n", "a", f"{long}{i}", None, None, None, i) for i in range(3)]
+    d = spark.createDataFrame(rows, "report_id string, vuln_id string, name string, affected_assets string, description string, observation string, remediation_status string, risk_status string, pos int")
+    assert dedupe_by_fingerprint(d).count() == 3
+    late = d.select(is_false_positive(F.col("name"), F.col("observation"), F.col("risk_status"), F.concat("description", F.lit(" false positive")), F.lit("5"), F.lit("High")).alias("fp"))
+    assert all(r.fp for r in late.collect())
+
+
+def test_every_cve_of_a_finding_is_looked_up(spark):
+    from scanlake.operators.enrich import CVE_FIELDS, KEYS, finding_cves
+
+    ids = [f"CVE-2020-100{i}" for i in range(6)]
+    cols = [*KEYS, *[c for c in CVE_FIELDS if c not in KEYS]]
+    d = spark.createDataFrame([tuple("1" if c in KEYS else " ".join(ids) for c in cols)], ", ".join(f"{c} string" for c in cols))
+    assert [r.cve for r in finding_cves(d).orderBy("ord").collect()] == ids
+    assert finding_cves(d, 3).count() == 3
