@@ -26,7 +26,7 @@ from scanlake.llm.common import held_out, in_slices, smallest_by_hash, whole_tex
 SLOTS = 1 << 20
 SIZES = (3, 4, 5, 6, 7, 8)
 #: Most labelled rows of each class that the fit uses.
-SAMPLE_PER_CLASS = 2500
+SAMPLE_PER_CLASS = 2000
 #: Pseudo-documents of the log-count ratio, dealt to the classes by their share.
 SMOOTH = 3.0
 #: A slot takes part if its ratio differs from 0 by so many standard deviations.
@@ -67,16 +67,15 @@ def fit(rows: list[np.ndarray], y: np.ndarray, prior: float, rounds: int = 600,
     """
     if not len(y) or y.min() == y.max():
         return {}, float(np.log((prior + 1e-9) / (1 - prior + 1e-9)))
-    idx = np.concatenate(rows)
-    own = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     n1, n0 = y.sum(), (1 - y).sum()
-    one = np.bincount(idx, y[own], SLOTS) + SMOOTH * n1 / len(y)
-    two = np.bincount(idx, 1 - y[own], SLOTS) + SMOOTH * n0 / len(y)
+    one, two = np.full(SLOTS, SMOOTH * n1 / len(y)), np.full(SLOTS, SMOOTH * n0 / len(y))
+    for r, t in zip(rows, y, strict=True):  # a row's slots are distinct
+        (one if t else two)[r] += 1
     ratio = np.log(one / n1) - np.log(two / n0)
     clear = np.abs(ratio) > CLEAR * np.sqrt(1 / one + 1 / two)
-    take = clear[idx]
-    used, idx = np.unique(idx[take], return_inverse=True)
-    own = own[take]
+    rows = [r[clear[r]] for r in rows]
+    own = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    used, idx = np.unique(np.concatenate(rows), return_inverse=True)
     scale = max(1.0, np.sqrt((ratio[used] ** 2).mean() if len(used) else 1.0) * np.sqrt(max(1.0, len(idx) / len(rows))))
     x = ratio[used][idx] / scale
     w = np.zeros(len(used))
