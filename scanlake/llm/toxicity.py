@@ -26,7 +26,7 @@ from scanlake.llm.common import held_out, in_slices, smallest_by_hash, whole_tex
 SLOTS = 1 << 20
 SIZES = (3, 4, 5, 6, 7, 8)
 #: Most labelled rows of each class that the fit uses.
-SAMPLE_PER_CLASS = 2000
+SAMPLE_PER_CLASS = 1500
 #: Pseudo-documents of the log-count ratio, dealt to the classes by their share.
 SMOOTH = 3.0
 #: A slot takes part if its ratio differs from 0 by so many standard deviations.
