@@ -272,7 +272,7 @@ def _tfidf(q: str, qk: str, c: str, ck: str, k: int, minimum: float, cap: int |
 
     limit = f"ORDER BY sum(tf) DESC, term LIMIT {cap}" if cap else ""
     return f"""WITH {tok(q, qk)}, {tok(c, ck)},
-    voc AS (SELECT term, ln((1 + (SELECT count(DISTINCT {ck}) FROM {c}_cnt)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM {c}_cnt GROUP BY term {limit}),
+    voc AS (SELECT term, ln((1 + (SELECT count(DISTINCT {ck}) FROM {c})) / (1 + count(*))::DOUBLE) + 1 AS idf FROM {c}_cnt GROUP BY term {limit}),
     qw AS (SELECT {qk}, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY {qk})) AS w FROM {q}_cnt JOIN voc USING (term)),
     cw AS (SELECT {ck}, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY {ck})) AS w FROM {c}_cnt JOIN voc USING (term)),
     sc AS (SELECT {qk}, {ck}, round(sum(qw.w * cw.w), 6) AS score FROM qw JOIN cw USING (term) GROUP BY {qk}, {ck})

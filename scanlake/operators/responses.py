@@ -9,7 +9,7 @@ from scanlake.functions.text import not_blank, or_empty, strip, trim_text
 from scanlake.operators.privacy import redact_or_fail
 
 FINDING_ITEM = "array<struct<name:string,severity:string,cvss:string,cve:string," \
-    "affected_assets:string,description:string,remediation:string,vuln_id:string," \
+    "affected_assets:variant,description:string,remediation:string,vuln_id:string," \
     "observation:string,remediation_status:string,risk_status:string>>"
 
 
@@ -46,10 +46,21 @@ def repair_commas(c: Column) -> Column:
     return F.regexp_replace(t, r'(\]|true|false|null|\d)\s*\n(\s*")', "$1,\n$2")
 
 
+def whole_value(text: Column) -> Column:
+    """The text as one JSON value (VARIANT), NULL where anything stands behind it.
+
+    The parser stops after the first value; within a list and within an object it cannot.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    held = F.try_parse_json(F.concat(F.lit('{"d":'), text, F.lit("}")))
+    return F.when(listed.isNotNull(), F.try_variant_get(held, "$.d", "variant"))
+
+
 def parse_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add `doc` (VARIANT) and `parse_stage`; unparsed replies have a NULL doc.
 
-    Stages: as cut, with escaped breaks, with repaired commas, with both.
+    Stages: as cut, with escaped breaks, with repaired commas, with both.  A reply with a
+    second object or a text between its braces is not parsed.
     """
     cut = df.withColumn("_cut", json_text(F.col(raw))).withColumn(
         "_esc", escape_breaks(F.col("_cut"))
@@ -60,7 +71,7 @@ def parse_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
         ("escaped_repaired", repair_commas(F.col("_esc"))),
     ]
     staged = cut.withColumns({
-        f"_p{i}": F.try_parse_json(t) for i, (_, t) in enumerate(tries)
+        f"_p{i}": whole_value(t) for i, (_, t) in enumerate(tries)
     })
     stage = None
     for i, (name, _) in enumerate(tries):
@@ -80,12 +91,31 @@ def quarantine(parsed: DataFrame) -> DataFrame:
 def explode_findings(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, item_no, finding fields): the `findings` list of every reply.
 
-    A reply whose `findings` is not a list gives no rows.
+    A reply whose `findings` is not a list gives no rows.  Assets may be a list or a text.
     """
     items = F.try_variant_get(F.col("doc"), "$.findings", FINDING_ITEM)
-    return parsed.filter(F.col("doc").isNotNull()).select(
+    rows = parsed.filter(F.col("doc").isNotNull()).select(
         *keys, F.posexplode(items).alias("item_no", "_f")
     ).select(*keys, "item_no", "_f.*")
+    return rows.withColumn("affected_assets", listed_text(F.col("affected_assets")))
+
+
+def listed_text(v: Column) -> Column:
+    """A VARIANT text as it is, a list as its entries with commas."""
+    return F.when(
+        F.schema_of_variant(v).startswith("ARRAY"),
+        F.array_join(F.try_variant_get(v, "$", "array<string>"), ", "),
+    ).otherwise(F.try_variant_get(v, "$", "string"))
+
+
+def reference_entry(v: Column) -> Column:
+    """One entry of a reference list: an object's title and url, or a text as the title."""
+    return F.when(
+        F.schema_of_variant(v).startswith("OBJECT"),
+        F.struct(F.try_variant_get(v, "$.title", "string").alias("title"),
+                 F.try_variant_get(v, "$.url", "string").alias("url")),
+    ).otherwise(
+        F.struct(F.try_variant_get(v, "$", "string").alias("title"), F.lit("").alias("url")))
 
 
 def normalise_result(parsed: DataFrame) -> DataFrame:
@@ -100,7 +130,7 @@ def normalise_result(parsed: DataFrame) -> DataFrame:
         F.array(F.struct(get("$.reference", "string").alias("title"), F.lit("").alias("url"))),
     ).when(
         ref_kind.startswith("ARRAY"),
-        get("$.reference", "array<struct<title:string,url:string>>"),
+        F.transform(get("$.reference", "array<variant>"), reference_entry),
     ).otherwise(F.array().cast("array<struct<title:string,url:string>>"))
     return parsed.withColumns({
         "item_key": get("$.key", "string"),

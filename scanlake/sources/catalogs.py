@@ -170,12 +170,9 @@ _PROP = "props:array<struct<name:string,value:string>>"
 _PART3 = f"struct<name:string,prose:string,{_PROP}>"
 _PART2 = f"struct<name:string,prose:string,{_PROP},parts:array<{_PART3}>>"
 _PART = f"struct<name:string,prose:string,{_PROP},parts:array<{_PART2}>>"
-_CTRL2 = (
-    f"struct<id:string,title:string,{_PROP},parts:array<{_PART}>,"
-    "controls:array<struct<id:string>>>"
-)
-_CTRL = f"struct<id:string,title:string,{_PROP},parts:array<{_PART}>,controls:array<{_CTRL2}>>"
-CONTROL_SCHEMA = f"catalog struct<groups:array<struct<id:string,controls:array<{_CTRL}>>>>"
+_CTRL = f"struct<id:string,title:string,{_PROP},parts:array<{_PART}>,controls:array<variant>>"
+_GROUP = "struct<id:string,groups:array<variant>,controls:array<variant>>"
+CONTROL_SCHEMA = "catalog struct<groups:array<variant>>"
 
 
 def _last_label(props: Column) -> Column:
@@ -209,28 +206,33 @@ def _guidance(parts: Column) -> Column:
 
 
 def load_controls(spark: SparkSession, path: str) -> DataFrame:
-    """Controls and their enhancements of an OSCAL catalog, with parent ids.
+    """Controls of an OSCAL catalog with their enhancements, of any depth, and parent ids.
 
-    Two levels are defined; a third one raises, so that nothing is lost silently.
+    Groups may hold groups; a control's family is the innermost group with an id.  Each
+    level is one step; the steps end where a level is empty.
     """
     raw = spark.read.schema(CONTROL_SCHEMA).option("multiLine", True).json(path)
-    tops = raw.select(F.explode("catalog.groups").alias("g")).select(
-        F.upper("g.id").alias("family"), F.explode("g.controls").alias("c"))
-    subs = tops.select("family", F.upper("c.id").alias("parent_id"),
-                       F.explode("c.controls").alias("c"))
-
-    def record(df: DataFrame, parent: Column) -> DataFrame:
-        return df.filter(or_empty(F.col("c.id")) != "").select(
+    level = raw.select(F.lit("").alias("family"), F.explode("catalog.groups").alias("v"))
+    controls = None
+    while controls is None or not level.isEmpty():
+        g = level.select("family", F.try_variant_get("v", "$", _GROUP).alias("g")).withColumn(
+            "family", F.coalesce(not_blank(F.upper("g.id")), F.col("family")))
+        own = g.select("family", F.lit("").alias("parent_id"), F.explode("g.controls").alias("v"))
+        controls = own if controls is None else controls.unionByName(own)
+        level = g.select("family", F.explode("g.groups").alias("v"))
+
+    found = None
+    while found is None or not controls.isEmpty():
+        c = controls.select("family", "parent_id", F.try_variant_get("v", "$", _CTRL).alias("c"))
+        records = c.filter(or_empty(F.col("c.id")) != "").select(
             F.upper("c.id").alias("id"), "family", or_empty(F.col("c.title")).alias("title"),
             _last_label(F.col("c.props")).alias("label"),
             _statement(F.col("c.parts")).alias("statement"),
-            _guidance(F.col("c.parts")).alias("guidance"), parent.alias("parent_id"),
+            _guidance(F.col("c.parts")).alias("guidance"), "parent_id",
         )
-
-    deeper = F.assert_true(
-        F.coalesce(F.size("c.controls"), F.lit(0)) <= 0, "controls nest deeper than two levels")
-    checked = subs.withColumn("_ok", deeper).filter(F.col("_ok").isNull()).drop("_ok")
-    return record(tops, F.lit("")).unionByName(record(checked, F.col("parent_id")))
+        found = records if found is None else found.unionByName(records)
+        controls = c.select("family", F.upper("c.id").alias("parent_id"), F.explode("c.controls").alias("v"))
+    return found
 
 
 # --- CVE and EPSS files -------------------------------------------------------------
@@ -248,9 +250,9 @@ CVE_SCHEMA = (
 
 
 def flatten_cve(raw: DataFrame, json: str = "value") -> DataFrame:
-    """CVE records from API-shaped JSON texts: English text, newest CVSS, weaknesses, 8 refs."""
-    c = F.get(F.from_json(F.col(json), CVE_SCHEMA)["vulnerabilities"], F.lit(0))["cve"]
-    rows = raw.select(c.alias("c")).filter(F.col("c").isNotNull())
+    """All CVE records of API-shaped JSON pages: English text, newest CVSS, weaknesses, references."""
+    page = F.from_json(F.col(json), CVE_SCHEMA)["vulnerabilities"]["cve"]
+    rows = raw.select(F.explode(page).alias("c")).filter(F.col("c").isNotNull())
     english = F.get(F.filter("c.descriptions", lambda d: d["lang"] == "en"), F.lit(0))["value"]
     m = F.coalesce(*[
         F.get(F.col("c.metrics." + k), F.lit(0))
@@ -267,22 +269,32 @@ def flatten_cve(raw: DataFrame, json: str = "value") -> DataFrame:
         F.coalesce(
             F.array_distinct(F.filter(values, lambda v: v.startswith("CWE-"))), none
         ).alias("cwes"),
-        F.slice(
-            F.coalesce(
-                F.filter("c.references", lambda r: or_empty(r["url"]) != ""),
-                F.array().cast("array<struct<url:string,tags:array<string>>>"),
-            ), 1, 8).alias("references"),
+        F.coalesce(
+            F.filter("c.references", lambda r: or_empty(r["url"]) != ""),
+            F.array().cast("array<struct<url:string,tags:array<string>>>"),
+        ).alias("references"),
     )
 
 
 def load_epss(spark: SparkSession, path: str) -> DataFrame:
-    """(cve, epss, percentile) of the daily EPSS file; '#' opens its comment line."""
+    """(cve, epss, percentile, date) of daily EPSS files; '#' opens the comment line with the date.
+
+    The date is the score date of a row's own file, NULL where its comment has none.
+    """
+    dates = (
+        spark.read.text(path).filter(F.col("value").startswith("#"))
+        .select(F.col("_metadata.file_path").alias("_file"),
+                F.regexp_extract("value", r"score_date:(\d{4}-\d{2}-\d{2})", 1).alias("_date"))
+        .groupBy("_file").agg(F.max(not_blank(F.col("_date"))).alias("date"))
+    )
+    rows = spark.read.option("header", True).option("comment", "#").csv(path)
     return (
-        spark.read.option("header", True).option("comment", "#").csv(path)
+        rows.select("*", F.col("_metadata.file_path").alias("_file")).join(dates, "_file", "left")
         .select(
             F.upper(strip(F.col("cve"))).alias("cve"),
             F.col("epss").try_cast("double").alias("epss"),
             F.col("percentile").try_cast("double").alias("percentile"),
+            "date",
         )
         .filter(not_blank(F.col("cve")).isNotNull())
     )

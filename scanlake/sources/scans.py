@@ -12,23 +12,70 @@ from scanlake.functions.text import split_lines
 from scanlake.tables import fixed
 
 
+#: A row id is (scan, file, row): so many bits for the row of a file and the file of a scan.
+ROW_BITS, FILE_BITS, SCAN_BITS = 33, 20, 10
+
+
+def scan_files(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[str, str]]:
+    """(path, file_path of the metadata) in the order of the paths, those of one path by name."""
+    files: dict[str, str] = {}
+    for given in [paths] if isinstance(paths, str) else paths:
+        listed = spark.read.format("binaryFile").load(given).select("path", "_metadata.file_path")
+        files.update(sorted(map(tuple, listed.collect())))
+    return list(files.items())
+
+
 def read_scan_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Delimited scan export with a header; every column is a string.
+    """Delimited scan exports, each read by its own header; every column is a string.
 
-    `source_file` and a unique `row_id` that follows file and row order are added.
+    Files with equal headers are read together; finding the headers is a look at the first
+    row of each file.  `source_file` and a unique `row_id` that follows the order of the
+    files as given, then that of the rows, are added.
     """
-    raw = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-        .option("inferSchema", False).csv(paths)
-    )
-    return raw.select("*", F.col("_metadata.file_path").alias("source_file")).withColumn(
-        "row_id", F.monotonically_increasing_id()
-    )
+    files = scan_files(spark, paths)
+    if len(files) > 1 << FILE_BITS:
+        raise ValueError(f"a scan may have at most {1 << FILE_BITS} files")
+    options = {"header": True, "multiLine": True, "escape": '"', "inferSchema": False}
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path, _ in files:
+        columns = tuple(spark.read.options(**options).csv(path).columns)
+        if columns:
+            by_header.setdefault(columns, []).append(path)
+    if not by_header:
+        raise ValueError("no scan file has a header")
+    places = spark.createDataFrame(
+        [(uri, i << ROW_BITS) for i, (_, uri) in enumerate(files)], "source_file string, _file long")
+    frames = []
+    for group in by_header.values():
+        # a multi-line file is one task, so the numbers of its rows ascend
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+        raw = spark.read.options(**options).csv(group)
+        rows = raw.select("*", F.col("_metadata.file_path").alias("source_file"), row.alias("_row"))
+        frames.append(
+            rows.join(places, "source_file")
+            .select(*raw.columns, "source_file", (F.col("_file") + F.col("_row")).alias("row_id")))
+    return _stacked(frames)
+
+
+def _stacked(frames: Sequence[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def union_scans(frames: Sequence[DataFrame]) -> DataFrame:
-    """Stack scans with different headers; absent columns become NULL."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    """Stack scans with different headers; absent columns become NULL.
+
+    Where every frame is a scan with a `row_id`, the ids stay unique and follow the order of
+    the frames: the number of the frame goes before them.
+    """
+    frames = list(frames)
+    if len(frames) > 1 and all("row_id" in f.columns for f in frames):
+        if len(frames) > 1 << SCAN_BITS:
+            raise ValueError(f"at most {1 << SCAN_BITS} scans can be stacked")
+        frames = [
+            f.withColumn("row_id", F.col("row_id").cast("long") + F.lit(i << (ROW_BITS + FILE_BITS)))
+            for i, f in enumerate(frames)
+        ]
+    return _stacked(frames)
 
 
 def selected_columns(columns: Sequence[str]) -> dict[str, str | None]:

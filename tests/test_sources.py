@@ -57,7 +57,7 @@ def test_scan_csv_headers_and_grouping(spark, tmp_path):
               '2,TLS Version 1.1 Deprecated Protocol,Low,10.0.0.2,0,short,\n3,,High,h,1,x,y\n4,Info thing,None,h,1,x,y\n')
     b = write(tmp_path, "b.csv", " Vulnerability ,Severity,IP\nOther,High,10.0.0.3\n")
     frames = [S.resolve_columns(S.read_scan_csv(spark, p).withColumn("report_id", F.lit("r"))) for p in (a, b)]
-    scan = S.union_scans(frames).withColumn("row_id", F.monotonically_increasing_id())
+    scan = S.union_scans(frames)
     findings, assets = g.findings_from_scan(scan)
     rows = {r.name: r for r in findings.collect()}
     assert set(rows) == {"TLS Version 1.1 Deprecated Protocol", "Other"}
@@ -70,6 +70,19 @@ def test_scan_csv_headers_and_grouping(spark, tmp_path):
     assert S.selected_columns(["Synopsis", "Description", "Title"])["description"] == "Synopsis"
 
 
+def test_scan_csv_files_with_different_headers(spark, tmp_path):
+    a = write(tmp_path, "a.csv", "Name,Risk,Host\nA1,High,1.1.1.1\nA2,Low,1.1.1.2\n")
+    b = write(tmp_path, "b.csv", "Host,Name,Risk\n2.2.2.2,B1,Critical\n")
+    c = write(tmp_path, "c.csv", "Name,Risk,Host\nC1,Low,3.3.3.3\n")
+    write(tmp_path, "empty.csv", "")
+    scan = S.read_scan_csv(spark, [b, c, a, str(tmp_path / "empty.csv")])
+    got = [(r.Name, r.Risk, r.Host) for r in scan.orderBy("row_id").collect()]
+    assert got == [("B1", "Critical", "2.2.2.2"), ("C1", "Low", "3.3.3.3"), ("A1", "High", "1.1.1.1"), ("A2", "Low", "1.1.1.2")]
+    both = S.union_scans([S.read_scan_csv(spark, a), S.read_scan_csv(spark, b)])
+    assert [r.Name for r in both.orderBy("row_id").collect()] == ["A1", "A2", "B1"]
+    assert both.select("row_id").distinct().count() == 3
+
+
 def test_scan_text(spark, tmp_path):
     p = write(tmp_path, "scan.txt", "line one\n\nline two\n")
     docs = S.read_scan_text(spark, p)
@@ -105,9 +118,12 @@ def test_controls(spark, tmp_path):
     assert rows["AC-1.1"].parent_id == "AC-1"
     assert [r.id for r in H.list_family(df, "ac").collect()] == ["AC-1", "AC-1.1"]
     deep = json.loads(json.dumps(OSCAL))
-    deep["catalog"]["groups"][0]["controls"][0]["controls"][0]["controls"] = [{"id": "ac-1.1.1"}]
-    with pytest.raises(Exception, match="two levels"):
-        C.load_controls(spark, write(tmp_path, "deep.json", json.dumps(deep))).collect()
+    deep["catalog"]["groups"][0]["controls"][0]["controls"][0]["controls"] = [{"id": "ac-1.1.1", "title": "Deep"}]
+    deep["catalog"]["groups"][0]["groups"] = [{"id": "au", "controls": [{"id": "au-1"}]}, {"controls": [{"id": "ac-9"}]}]
+    got = C.load_controls(spark, write(tmp_path, "deep.json", json.dumps(deep))).collect()
+    assert sorted((r.id, r.family, r.parent_id) for r in got) == [
+        ("AC-1", "AC", ""), ("AC-1.1", "AC", "AC-1"), ("AC-1.1.1", "AC", "AC-1.1"), ("AC-9", "AC", ""), ("AU-1", "AU", "")]
+    assert C.load_controls(spark, write(tmp_path, "none.json", '{"catalog": {"groups": []}}')).count() == 0
 
 
 def test_cve_and_epss(spark, tmp_path):
@@ -120,9 +136,13 @@ def test_cve_and_epss(spark, tmp_path):
     df = C.flatten_cve(spark.createDataFrame([(json.dumps(cve),), ('{"vulnerabilities": []}',)], "value string"))
     r = df.collect()
     assert len(r) == 1 and (r[0].description, r[0].cvss, r[0].severity) == ("hi", 7.5, "HIGH")
-    assert r[0].cwes == ["CWE-79"] and len(r[0].references) == 8
-    p = write(tmp_path, "epss.csv", "#model:v1\ncve,epss,percentile\nCVE-2021-1,0.5,0.9\n")
-    assert [tuple(x) for x in C.load_epss(spark, p).collect()] == [("CVE-2021-1", 0.5, 0.9)]
+    assert r[0].cwes == ["CWE-79"] and len(r[0].references) == 9
+    page = json.dumps({"vulnerabilities": [{"cve": {"id": f"CVE-2021-{i}"}} for i in range(3)]})
+    assert {x.cve for x in C.flatten_cve(spark.createDataFrame([(page,)], "value string")).collect()} == {"CVE-2021-0", "CVE-2021-1", "CVE-2021-2"}
+    p = write(tmp_path, "epss.csv", "#model_version:v1,score_date:2024-05-01T00:00:00+0000\ncve,epss,percentile\nCVE-2021-1,0.5,0.9\n")
+    assert [tuple(x) for x in C.load_epss(spark, p).collect()] == [("CVE-2021-1", 0.5, 0.9, "2024-05-01")]
+    bare = write(tmp_path, "bare.csv", "cve,epss,percentile\nCVE-2021-2,0.1,0.2\n")
+    assert [tuple(x) for x in C.load_epss(spark, bare).collect()] == [("CVE-2021-2", 0.1, 0.2, None)]
 
 
 def test_templates_payload(spark, tmp_path):
@@ -154,6 +174,27 @@ def test_response_repair(spark):
     assert R.quarantine(df).count() == 1 and R.explode_findings(df, ["i"]).count() == 0
 
 
+def test_replies_with_lists_and_trailing_text(spark):
+    raws = ['{"findings": [{"name": "a", "affected_assets": ["10.0.0.1", "10.0.0.2"]}, {"name": "b", "affected_assets": "h1, h2"}, {"name": "c"}],'
+            ' "reference": ["OWASP", {"title": "t", "url": "u"}]}',
+            '{"a": 1} trailing }', '{"a": 1}\n{"b": 2}', '{"a": 1}} }', '{"a": 1}] }']
+    df = R.parse_responses(spark.createDataFrame(list(enumerate(raws)), "i int, raw string"))
+    assert [r.parse_stage for r in df.orderBy("i").collect()] == ["plain"] + ["failed"] * 4
+    assert [r.affected_assets for r in R.explode_findings(df, ["i"]).orderBy("item_no").collect()] == ["10.0.0.1, 10.0.0.2", "h1, h2", None]
+    refs = R.normalise_result(df).filter("i = 0").first().refs
+    assert [tuple(x) for x in refs] == [("OWASP", ""), ("t", "u")]
+
+
+def test_a_leak_fails_the_job(spark, monkeypatch):
+    from scanlake.operators import privacy as P
+
+    df = spark.createDataFrame([("k", "host 10.1.2.3 down", ["a 10.1.2.3"])], "k string, t string, l array<string>")
+    assert "10.1.2.3" not in str(P.redact_or_fail(df, ["k"], ["t", "l"]).select("t", "l").collect())
+    monkeypatch.setattr(P, "redact", lambda d, cols: d)
+    with pytest.raises(Exception, match="ip left in field t"):
+        P.redact_or_fail(df, ["k"], ["t"]).collect()
+
+
 def test_events_and_snapshots(spark, tmp_path):
     ev = spark.createDataFrame([("r", "t1", "llm_interaction", "{}"), ("r", "t2", "x", "{}")], "run_id string, timestamp string, type string, data string")
     path = str(tmp_path / "ev")
