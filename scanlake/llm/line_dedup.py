@@ -86,7 +86,7 @@ def near_lines(d: DataFrame, first: DataFrame) -> DataFrame:
         return pick(d, first.join(ids, "id").select("k", "pos", "id", "doc_id")).distinct()
 
     def side(texts: DataFrame, p: str) -> DataFrame:
-        return texts.select(F.col("id").alias(p), F.struct("doc_id", "k", "pos").alias(f"{p}_at"), F.col("line").alias(f"{p}_line"))
+        return texts.select(F.col("id").alias(p), F.struct("doc_id", "k", "pos").alias(f"{p}_at"), F.col("line").alias(f"{p}_line"), F.length("line").alias(f"{p}_n"))
 
     close = F.levenshtein("a_line", "b_line", EDITS).between(0, EDITS)
     texts = with_text(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -94,7 +94,9 @@ def near_lines(d: DataFrame, first: DataFrame) -> DataFrame:
     filed_hot, asked_hot = filed.join(hot.select("key"), "key").distinct(), asked.join(hot.select("key"), "key").distinct()
     hot_texts = with_text(filed_hot.select("id").union(asked_hot.select("by")).distinct())
     left, right = filed_hot.withColumnRenamed("id", "a").join(side(hot_texts, "a"), "a"), asked_hot.withColumnRenamed("by", "b").join(side(hot_texts, "b"), "b")
-    near_hot = left.join(right, (left["key"] == right["key"]) & (left["a"] != right["b"]) & close).select("a_at", "b_at")
+    # a filed line is never longer than the one that asks; of two equally long ones either may ask, so one does
+    one_way = (left["a_n"] < right["b_n"]) | (left["a"] < right["b"])
+    near_hot = left.join(right, (left["key"] == right["key"]) & one_way & close).select("a_at", "b_at")
     return near.union(near_hot).select(F.greatest("a_at", "b_at").alias("g")).select("g.k", "g.pos").distinct()
 
 
