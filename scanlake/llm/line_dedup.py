@@ -9,10 +9,12 @@ equality: few edits would turn it into any other.  Blank lines stay.
 2. Two lines within EDITS edits share one of EDITS + 1 segments: every line is cut into
    that many even segments, filed under (length, segment number, content).  A line looks up
    its own substrings for partner lengths from its own down to EDITS less, at the few places
-   where a segment can stand (multi-match-aware selection), 12 keys at two edits.
+   where a segment can stand (multi-match-aware selection).  At two edits these are 12
+   keys; 3 of them are the line's own segments, which are filed already and not sent again.
 3. Most keys are rare, and the lines that meet there are candidates.  A key that more than
    HOT lines are filed under (many variants of one line) would make pairs without end: its
-   lines are joined with their texts instead, and only pairs that pass leave the join.
+   lines are joined with their texts instead, by semi joins, which stop at a line's first
+   earlier partner and put out at most the lines themselves.
 4. Candidates are verified by Spark's `levenshtein` with a threshold, which computes the
    band around the diagonal alone.  (Its inner step is not bit-parallel: SQL functions have
    no wide bit vectors, and an aggregate over characters would cost more than the band.)
@@ -53,14 +55,15 @@ def segment_keys(line: Column) -> list[Column]:
 
 
 def probe_keys(line: Column) -> list[Column]:
-    """Keys a line looks up: substrings that a partner of no greater length may have as a segment."""
+    """Keys a line looks up besides its own segments: substrings that a partner of no greater length may have as a segment."""
     n, out = F.length(line), []
     for less in range(EDITS + 1):
         own = n - less
         for i in range(EDITS + 1):
             start, size = segment(own, i)
             for shift in range(max(-i, less - (EDITS - i)), min(i, less + (EDITS - i)) + 1):
-                out.append(F.xxhash64(own, F.lit(i), F.substring(line, start + shift, size)))
+                if less or shift:
+                    out.append(F.xxhash64(own, F.lit(i), F.substring(line, start + shift, size)))
     return out
 
 
@@ -77,10 +80,11 @@ def near_lines(d: DataFrame, first: DataFrame) -> DataFrame:
     """k, pos of the lines that have an earlier line within EDITS edits; d: (k, text), first: first occurrences."""
     some = pick(d, first.filter(F.col("n") >= SHORT).select("k", "pos", "id"))
     filed = some.select("id", F.explode(F.array(*segment_keys(F.col("line")))).alias("key"))
-    asked = some.select(F.col("id").alias("by"), F.explode(F.array(*probe_keys(F.col("line")))).alias("key"))
-    hot = filed.groupBy("key").agg(F.count("*").alias("lines")).filter(F.col("lines") > HOT)
-    rare = filed.join(hot, "key", "left_anti").join(asked, "key").filter("id <> by")
-    pairs = rare.select(F.least("id", "by").alias("a"), F.greatest("id", "by").alias("b")).distinct()
+    asked = some.select(F.col("id").alias("by"), F.explode(F.array_distinct(F.array(*probe_keys(F.col("line"))))).alias("key"))
+    hot = filed.groupBy("key").agg(F.count("*").alias("lines")).filter(F.col("lines") > HOT).select("key")
+    rare = filed.join(hot, "key", "left_anti")
+    met = rare.join(asked, "key").filter("id <> by").union(rare.join(rare.withColumnRenamed("id", "by"), "key").filter("id < by"))
+    pairs = met.select(F.least("id", "by").alias("a"), F.greatest("id", "by").alias("b")).distinct()
 
     def with_text(ids: DataFrame) -> DataFrame:
         return pick(d, first.join(ids, "id").select("k", "pos", "id", "doc_id")).distinct()
@@ -91,13 +95,15 @@ def near_lines(d: DataFrame, first: DataFrame) -> DataFrame:
     close = F.levenshtein("a_line", "b_line", EDITS).between(0, EDITS)
     texts = with_text(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     near = pairs.join(side(texts, "a"), "a").join(side(texts, "b"), "b").filter(close).select("a_at", "b_at")
-    filed_hot, asked_hot = filed.join(hot.select("key"), "key").distinct(), asked.join(hot.select("key"), "key").distinct()
+    filed_hot = filed.join(hot, "key")
+    asked_hot = asked.join(hot, "key").select("by", "key").union(filed_hot.select(F.col("id").alias("by"), "key"))
     hot_texts = with_text(filed_hot.select("id").union(asked_hot.select("by")).distinct())
     left, right = filed_hot.withColumnRenamed("id", "a").join(side(hot_texts, "a"), "a"), asked_hot.withColumnRenamed("by", "b").join(side(hot_texts, "b"), "b")
-    # a filed line is never longer than the one that asks; of two equally long ones either may ask, so one does
-    one_way = (left["a_n"] < right["b_n"]) | (left["a"] < right["b"])
-    near_hot = left.join(right, (left["key"] == right["key"]) & one_way & close).select("a_at", "b_at")
-    return near.union(near_hot).select(F.greatest("a_at", "b_at").alias("g")).select("g.k", "g.pos").distinct()
+    same_key = left["key"] == right["key"]
+    # a filed line is never longer than the one that asks; two equally long ones ask each other, so the later one asks
+    near_asking = right.join(left, same_key & (left["a_at"] < right["b_at"]) & close, "left_semi").select(F.col("b_at").alias("g"))
+    near_filed = left.join(right, same_key & (right["b_at"] < left["a_at"]) & (left["a_n"] < right["b_n"]) & close, "left_semi").select(F.col("a_at").alias("g"))
+    return near.select(F.greatest("a_at", "b_at").alias("g")).union(near_asking).union(near_filed).select("g.k", "g.pos").distinct()
 
 
 def kept_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
