@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -44,7 +45,10 @@ _TOKENIZER: dict[str, object] = {}
 
 
 def encoder(path: str):
-    """text -> token ids as little-endian unsigned 32-bit integers; pieces that repeat are looked up."""
+    """texts -> token ids of each as little-endian unsigned 32-bit integers.
+
+    Pieces that repeat are looked up; the new ones of all texts are encoded in one call.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
     from tokenizers import Tokenizer
 
@@ -54,26 +58,25 @@ def encoder(path: str):
         _TOKENIZER[path] = Tokenizer.from_file(path)
     tok = _TOKENIZER[path]
 
-    def encode(text: str) -> bytes:
-        if _OTHER.search(text) or _SPECIAL in text:
-            return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        found = _PIECES.findall(text)
+    def ids_of(strings: list[str]) -> Iterator[bytes]:
+        for e in tok.encode_batch_fast(strings, add_special_tokens=False) if strings else ():
+            yield struct.pack(f"<{len(e)}I", *e.ids)
+
+    def encode(texts: list[str]) -> Iterator[bytes]:
+        found = [None if _OTHER.search(t) or _SPECIAL in t else _PIECES.findall(t) for t in texts]
+        used = set().union(*filter(None, found))
+        if len(_KNOWN[0]) > _KNOWN_MOST:
+            _KNOWN[:] = [{}, _KNOWN[0]]
         late, early = _KNOWN
-        missing = [u for u in dict.fromkeys(found) if u not in late]
-        if missing:
-            if len(late) > _KNOWN_MOST:
-                _KNOWN[:] = [{}, late]
-                late, early = _KNOWN
-                missing = list(dict.fromkeys(found))
-            new = []
-            for u in missing:
-                if (known := early.get(u)) is None:
-                    new.append(u)
-                else:
-                    late[u] = known
-            for u, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False) if new else (), strict=True):
-                late[u] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(late.__getitem__, found))
+        new = []
+        for u in used.difference(late):
+            if (known := early.get(u)) is None:
+                new.append(u)
+            else:
+                late[u] = known
+        late.update(zip(new, ids_of(new), strict=True))
+        for t, f in zip(texts, found):
+            yield next(ids_of([t])) if f is None else b"".join(map(late.__getitem__, f))
 
     return encode
 
@@ -98,10 +101,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), END.to_bytes(4, "little")
-        for b in in_slices(batches, "_text"):
+        for b in in_slices(batches, "_text", 1 << 20):
             row, start, length, crc, total, cls = [], [], [], [], [], []
-            for i, t in enumerate(b.column("_text").to_pylist()):
-                ids = encode(t) + end
+            for i, ids in enumerate(encode(b.column("_text").to_pylist())):
+                ids += end
                 n, at = len(ids) // 4, 0
                 for size, k in cuts(n, capacity):
                     row.append(i)
