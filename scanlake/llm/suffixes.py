@@ -168,9 +168,9 @@ def last_round(texts: DataFrame, least: int) -> DataFrame:
             row = np.repeat(z.row[at], n)
             pair = paired(z.names(p, p + half), z.names(p + half, p + least))
             yield pa.RecordBatch.from_arrays(
-                [b.column("key").take(pa.array(row)), pa.array((p - z.borders[row]).astype(np.int64)), pa.array(pair.view(np.int64))], names=["key", "place", "pair"])
+                [b.column("key").take(pa.array(row)), pa.array((p - z.borders[row]).astype(np.int32)), pa.array(pair.view(np.int64))], names=["key", "place", "pair"])
 
-    return texts.mapInArrow(run, "key binary, place long, pair long")
+    return texts.mapInArrow(run, "key binary, place int, pair long")
 
 
 def listed(lists: pa.Array, row: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -183,8 +183,8 @@ def listed(lists: pa.Array, row: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-def found_repeats(docs: DataFrame, text: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Texts (key, _text), and by key the sure (covered strings of zones wholly repeated) and places (single repeated starts)."""
+def found_repeats(docs: DataFrame, text: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts (key, _text), by key the sure (covered strings of zones wholly repeated), and by key the places (single repeated starts)."""
     rows = stage(round_one(docs, text, least), "zones")
     again = rows.groupBy("rank").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).select("rank")
     live = stage(rows.join(again, "rank"), "live")
@@ -194,19 +194,21 @@ def found_repeats(docs: DataFrame, text: str = "text", least: int = LEAST) -> tu
     look = zones.join(kinds.filter("kinds > 1 and single > 0").select("rank"), "rank").groupBy("key").agg(F.collect_set("cover").alias("look"))
     # one plan from here on: the texts are shuffled once and read twice, the starts as well
     texts = _texts(docs, text)
-    starts = last_round(texts.join(look, "key"), least).repartition("pair")
+    # (said here, the filter that the joins infer is the same on both readings, which then share the shuffle)
+    starts = last_round(texts.join(look, "key"), least).filter("key IS NOT NULL AND pair IS NOT NULL").repartition("pair")
     # a copy of a text yields the same (key, place): only different ones count.  A text has
     # each pair for few of its starts, so no pair can hold a large share of all starts
     who = F.xxhash64("key", "place")
     pairs = starts.groupBy("pair").agg(F.min(who).alias("one"), F.max(who).alias("two")).filter("one <> two")
     places = starts.join(pairs.select("pair"), "pair").groupBy("key").agg(F.collect_set("place").alias("places"))
-    return texts, sure.join(places, "key", "full")
+    return texts, sure, places
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), spans (first, end) removed, kept_sha256."""
-    texts, found = found_repeats(docs, text, least)
-    source = texts.join(found, "key", "left").select("key", "_text", "sure", "places")
+    texts, sure, places = found_repeats(docs, text, least)
+    # all three are dealt by key already, so neither join moves rows again
+    source = texts.join(sure, "key", "left").join(places, "key", "left").select("key", "_text", "sure", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches, "_text"):
@@ -218,7 +220,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 np.add.at(change, z.lo[at], 1)
                 np.add.at(change, z.hi[at] + least, -1)
                 lists = b.column("places")
-                flat = lists.flatten().to_numpy()
+                flat = lists.flatten().to_numpy().astype(np.int64)
                 n = pa.compute.list_value_length(lists).fill_null(0).to_numpy()
                 p = flat + np.repeat(borders[:-1], n)
                 np.add.at(change, p, 1)
