@@ -268,7 +268,10 @@ def verified(groups: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, key, copy_id (least id of the equal texts), class_id (least id of the linked
-    texts), links (different texts linked to this one)."""
+    texts), links (different texts linked to this one), class_key (least text key of the class).
+
+    class_key names a class.  Ids do not: unrelated texts may share one, or have none.
+    """
     t = docs.select(F.col(id_col).alias("doc_id"), whole_text(text).alias("_text")).select(text_key(F.col("_text")).alias("key"), "doc_id", "_text")
     sigs = stage(signatures(t).groupBy("key").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "signatures")
     groups = stage(components(candidate_edges(sigs)), "groups")
@@ -281,17 +284,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     least = ids.join(classes.withColumnRenamed("node", "key"), "key")
     class_ids = least.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     info = ids.join(least.select("key", "root").join(class_ids, "root"), "key", "left").join(found.groupBy("key").agg(F.sum("links").alias("links")), "key", "left")
-    info = info.select("key", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return t.select("key", "doc_id").join(info, "key").select("doc_id", "key", "copy_id", "class_id", "links")
+    info = info.select("key", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "key").alias("class_key"))
+    return t.select("key", "doc_id").join(info, "key").select("doc_id", "key", "copy_id", "class_id", "links", "class_key")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each class: the one with the least id, with its columns.
+    """One document of each class: the one with the least id (a null id is the last), with its columns.
 
-    Rows of the class's least id and text that are repeated stay one.
+    Rows of the chosen id and text that are repeated stay one.
     """
-    d = near_duplicates(docs)
-    stays = d.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("key", "doc_id").distinct()
-    best = stays.groupBy("doc_id").agg(F.min("key").alias("_key")).withColumnRenamed("doc_id", "_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m")
+    best = near_duplicates(docs).groupBy("class_key").agg(first).select(F.col("m.doc_id").alias("_id"), F.col("m.key").alias("_key"))
     t = docs.withColumn("_k", text_key(whole_text("text")))
-    return t.join(best, (t["_k"] == best["_key"]) & t["doc_id"].eqNullSafe(best["_id"])).select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return t.join(best, (t["_k"] == best["_key"]) & t["doc_id"].eqNullSafe(best["_id"])).dropDuplicates(["_k", "doc_id"]).select(*docs.columns)

@@ -29,7 +29,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "copy_id", "class_id", "links")
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "copy_id", "class_id", "links", F.hex("class_key").alias("class_key"))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,17 @@ def test_near_duplicates(docs, rows, none):
     assert near_duplicates.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_keep_unrelated_texts_with_one_id(spark):
+    g = random.Random(12)
+    a, b, c, d, e = (text(g, 60) for _ in range(5))
+    rows = [(None, a), (None, b), (7, c), (7, d), (8, d + " tail"), (None, c + " tail"), (7, c), (None, e), (9, e), (5, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates.near_duplicates(docs).toPandas()
+    assert got.class_key.nunique() == 6
+    kept = Counter((r.doc_id, r.text or "") for r in near_duplicates.keep_first(docs).collect())
+    assert kept == Counter([(None, a), (None, b), (7, c), (7, d), (9, e), (5, "")])
+
+
 def test_large_group_counts_every_link(spark):
     base = ("w%d " * 120 % tuple(range(120))).split()
     copies = [" ".join(base[:i] + [f"z{i}"] + base[i + 1:]) for i in range(0, 120)] * 2
