@@ -7,17 +7,14 @@ already summed over their rows:
   their counts as the differences of a second, monotone one;
 * pairs and triples: the ids of the words that follow a context, in order, packed; an
   Elias-Fano sequence of monotone pointers says where a context's successors begin.  A
-  query searches the successor relative to its context.  Pairs and triples seen once are
-  left out of the trie (MIN_COUNT), so that it holds what repeats.
+  query searches the successor relative to its context.  All pairs and triples are kept.
 
 A level is cut into shards by the first word; each shard is a file in the shared folder
 that scoring tasks map into memory, so that the trie takes no heap.
 
-Smoothing: p(w | context) = (c + R * p(w | shorter context)) / (C + MU), with c the stored
-count (0 if left out), C the context's whole count, and R = MU + C - the stored counts'
-sum, so that what was seen once serves as room for the unseen.  c / (C + MU) and
-R / (C + MU) are kept as quantised logarithms (8 bits).  A word's own probability is
-(c + 1) / (N + V + 1).
+Smoothing: p(w | context) = (c + MU * p(w | shorter context)) / (C + MU), with c the count
+of the context and word and C the context's.  c / (C + MU) and MU / (C + MU) are kept as
+quantised logarithms (8 bits).  A word's own probability is (c + 1) / (N + V + 1).
 
 Null and empty texts are the end token alone.  Texts are split at ASCII white space;
 repeated rows count and score each for itself.  Without training rows all counts are 0.
@@ -40,7 +37,6 @@ from pyspark.sql import functions as F
 from scanlake.llm.common import held_out, in_slices, shared_folder, whole_text
 from scanlake.llm.compact import EliasFano, elias_fano, map_arrays, pack, search, unpack, write_arrays
 
-MIN_COUNT = 2
 MU = 4.0
 STEP = 9 / 255  # of a code, in log10
 END, BEGIN = b" ", b"  "  # no word has white space
@@ -252,30 +248,22 @@ def count_follow(docs: DataFrame, folder: str, sizes: list[int]) -> list[int]:
         del got
         n = int(first[sh + 1] - first[sh])
         own = (pair >> np.uint64(32)).astype(np.int64) - first[sh]
-        kept = pair[c2 >= MIN_COUNT]
-        a = {"head": np.array([first[sh], len(kept), bits], np.int64)}
+        a = {"head": np.array([first[sh], len(pair), bits], np.int64)}
 
         def put(k: int, context: np.ndarray, contexts: int, word: np.ndarray, c: np.ndarray) -> None:
             total = np.bincount(context, c, contexts)
-            keep = c >= MIN_COUNT
-            context, word, c = context[keep], word[keep], c[keep]
             start = np.concatenate([[0], np.cumsum(np.bincount(context, minlength=contexts))])
-            rest = MU + total - np.bincount(context, c, contexts)
             a.update({f"p{k}_{x}": v for x, v in elias_fano(start, len(word) + 1).items()})
             a[f"w{k}"] = pack(word, bits)
             a[f"q{k}"] = code(c / (total[context] + MU)) if len(c) else np.zeros(0, np.uint8)
-            a[f"g{k}"] = code(rest / (total + MU))
+            a[f"g{k}"] = code(MU / (total + MU))
 
         put(2, own, n, pair & np.uint64(0xFFFFFFFF), c2)
-        pair = kept
         keys, words, counts = [], [], []
         for x in rows.loc[rows["kind"] == 3, "block"]:
             left, w, c = unpacked(x, "<u8", "<u4", "<u4")
-            at = np.searchsorted(pair, left)
-            ok = at < len(pair)
-            ok[ok] = pair[at[ok]] == left[ok]  # a triple seen twice has a pair seen twice
-            keys.append(at[ok].astype(np.uint64) << np.uint64(32) | w[ok])
-            counts.append(c[ok])
+            keys.append(np.searchsorted(pair, left).astype(np.uint64) << np.uint64(32) | w)
+            counts.append(c)
         key, c3 = summed(np.concatenate(keys), np.concatenate(counts).astype(np.int64)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         put(3, (key >> np.uint64(32)).astype(np.int64), len(pair), key & np.uint64(0xFFFFFFFF), c3)
         write_arrays(folder, f"follow-{sh}", a)
