@@ -64,17 +64,12 @@ class EliasFano:
         """Place of the k-th (from 0) one, or zero where flip is 255."""
         w = np.searchsorted(directory, k, "right") - 1
         rest = k - directory[w]
-        at = w * 8
-        done = np.zeros(len(k), bool)
-        out = np.zeros(len(k), np.int64)
-        for j in range(8):
-            byte = self.upper[at + j] ^ np.uint8(flip)
-            c = _POP[byte]
-            here = ~done & (rest < c)
-            out[here] = (at[here] + j) * 8 + _SELECT[byte[here], rest[here]]
-            done |= here
-            rest = np.where(done, rest, rest - c)
-        return out
+        raw = self.upper.reshape(-1, 8)[w] ^ np.uint8(flip)
+        until = np.cumsum(_POP[raw], 1, dtype=np.uint8)
+        j = np.minimum((until <= rest[:, None]).sum(1), 7)
+        at = np.arange(len(k))
+        byte = raw[at, j]
+        return (w * 8 + j) * 8 + _SELECT[byte, np.minimum(rest - (until[at, j] - _POP[byte]), 7)]
 
     def get(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)

@@ -5,16 +5,23 @@ already summed over their rows:
 
 * words: 64-bit hashes in order as an Elias-Fano sequence (a word's place is its id), and
   their counts as the differences of a second, monotone one;
-* pairs and triples: the ids of the words that follow a context, in order, packed; an
-  Elias-Fano sequence of monotone pointers says where a context's successors begin.  A
-  query searches the successor relative to its context.  All pairs and triples are kept.
-
-A level is cut into shards by the first word; each shard is a file in the shared folder
-that scoring tasks map into memory, so that the trie takes no heap.
+* pairs and triples: contexts in order as an Elias-Fano sequence (a word's id, or both ids
+  of a pair), the ids of the words that follow a context, in order, packed, and an
+  Elias-Fano sequence of monotone pointers to where a context's successors begin.  A query
+  searches the successor relative to its context.  All pairs and triples are kept, with
+  their counts: a byte each, larger ones in a list of their own.
+
+The word level is cut by hash, the others into ranges of (context, word) whose borders come
+from a sample, so that a frequent context is spread over several ranges.  The number of
+parts follows the input.  Tasks send sorted blocks of summed counts; a part is built from
+its blocks one after another, which are summed down whenever FOLD entries are held.  Each
+part is a file in the shared folder that scoring tasks map into memory, so that the trie
+takes no heap.
 
 Smoothing: p(w | context) = (c + MU * p(w | shorter context)) / (C + MU), with c the count
-of the context and word and C the context's.  c / (C + MU) and MU / (C + MU) are kept as
-quantised logarithms (8 bits).  A word's own probability is (c + 1) / (N + V + 1).
+of the context and word and C the context's: every word but the end token, which is no
+context, is followed by one token, so C is the count of the context itself.  A word's own
+probability is (c + 1) / (N + V + 1).
 
 Null and empty texts are the end token alone.  Texts are split at ASCII white space;
 repeated rows count and score each for itself.  Without training rows all counts are 0.
@@ -25,9 +32,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -38,7 +45,9 @@ from scanlake.llm.common import held_out, in_slices, shared_folder, whole_text
 from scanlake.llm.compact import EliasFano, elias_fano, map_arrays, pack, search, unpack, write_arrays
 
 MU = 4.0
-STEP = 9 / 255  # of a code, in log10
+PART_BYTES = 32 << 20  # of text, for each part of a level
+SAMPLE_BYTES, SAMPLE_SHARE, SAMPLE_KEYS = 16 << 20, 0.01, 64  # text at least, share of it, keys a range
+FOLD = 4 << 20
 END, BEGIN = b" ", b"  "  # no word has white space
 BEGIN_ID = 0
 
@@ -47,13 +56,6 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def code(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-np.log10(p) / STEP), 0, 255).astype(np.uint8)
-
-
-_DECODE = 10.0 ** (-STEP * np.arange(256))
-
-
 class Slice:
     """Tokens of some texts: distinct words, each token's place among them, border of each text."""
 
@@ -124,12 +126,12 @@ class Words:
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: not there) and counts."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        own = shard_of_hash(hashes, self.shards)
-        for s, p in enumerate(self.parts):
-            at = np.flatnonzero(own == s)
-            if p is None or not len(at):
+        order = np.argsort(hashes)
+        cut = np.searchsorted(shard_of_hash(hashes[order], self.shards), np.arange(self.shards + 1))
+        for s in np.flatnonzero(np.diff(cut)):
+            at, p = order[cut[s]: cut[s + 1]], self.parts[s]
+            if p is None:
                 continue
-            at = at[np.argsort(hashes[at])]
             i = p[0].successor(hashes[at])
             ok = i < p[0].n
             at, i = at[ok], i[ok]
@@ -141,28 +143,89 @@ class Words:
         return ids, counts
 
 
-class Follow:
-    """Pairs and triples of one shard."""
+class Level:
+    """Pairs or triples of one range."""
 
     def __init__(self, a: dict[str, np.ndarray]):
-        self.a = a
-        self.low, self.count, self.bits = (int(x) for x in a["head"])
-        self.p2, self.p3 = EliasFano(a, "p2_"), EliasFano(a, "p3_")
-
-    def level(self, k: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For contexts of this level: place of the word's n-gram (-1), its probability, weight of the rest."""
-        p = self.p2 if k == 2 else self.p3
-        lo, hi = p.get(context).astype(np.int64), p.get(context + 1).astype(np.int64)
-        raw = self.a[f"w{k}"]
-        at = search(lambda i: unpack(raw, self.bits, i), lo, hi, word.astype(np.uint64))
+        self.low, self.bits = (int(x) for x in a["head"])
+        self.contexts, self.starts = EliasFano(a, "x_"), EliasFano(a, "p_")
+        self.words, self.small, self.at, self.large = a["w"], a["c"], a["at"], a["large"]
+
+    def counts(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Counts of (context, word), sorted by context: each context is searched once."""
+        out = np.zeros(len(context), np.int64)
+        new = np.concatenate([[True], context[1:] != context[:-1]])
+        x = context[new] - self.low
+        there = np.flatnonzero(x >= 0)
+        x = x[there].astype(np.uint64)
+        i = self.contexts.successor(x)
+        ok = np.flatnonzero(i < self.contexts.n)
+        ok = ok[self.contexts.get(i[ok]) == x[ok]]
+        there, i = there[ok], i[ok]
+        lo, hi = np.zeros(new.sum(), np.int64), np.zeros(new.sum(), np.int64)
+        lo[there], hi[there] = self.starts.get(i), self.starts.get(i + 1)
+        own = np.cumsum(new) - 1
+        q = np.flatnonzero((hi > lo)[own])
+        lo, hi, key = lo[own[q]], hi[own[q]], word[q].astype(np.uint64)
+        at = search(lambda k: unpack(self.words, self.bits, k), lo, hi, key)
         ok = at < hi
-        ok[ok] = unpack(raw, self.bits, at[ok]) == word[ok].astype(np.uint64)
-        prob = np.zeros(len(at))
-        prob[ok] = _DECODE[self.a[f"q{k}"][at[ok]]]
-        some = hi > lo
-        rest = np.ones(len(at))
-        rest[some] = _DECODE[self.a[f"g{k}"][context[some]]]
-        return np.where(ok, at, -1), prob, rest
+        ok[ok] = unpack(self.words, self.bits, at[ok]) == key[ok]
+        at, q = at[ok], q[ok]
+        c = self.small[at].astype(np.int64)
+        many = np.flatnonzero(c == 255)
+        c[many] = self.large[np.searchsorted(self.at, at[many])]
+        out[q] = c
+        return out
+
+
+def write_level(folder: str, name: str, bits: int, context: np.ndarray, word: np.ndarray, c: np.ndarray) -> None:
+    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    x = context[first] - context[0]
+    many = np.flatnonzero(c >= 255)
+    a = {"head": np.array([context[0], bits], np.int64), "w": pack(word, bits), "c": np.minimum(c, 255).astype(np.uint8), "at": many, "large": c[many]}
+    a |= {f"x_{k}": v for k, v in elias_fano(x, int(x[-1]) + 1).items()}
+    a |= {f"p_{k}": v for k, v in elias_fano(np.concatenate([first, [len(word)]]), len(word) + 1).items()}
+    write_arrays(folder, name, a)
+
+
+def cuts(context: np.ndarray, word: np.ndarray, borders: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Where the ranges begin in sorted (context, word), and the end."""
+    lo, hi = (np.searchsorted(context, borders[0], side) for side in ("left", "right"))
+    return np.concatenate([[0], search(lambda i: word[i], lo, hi, borders[1]), [len(context)]])
+
+
+def in_parts(blocks: DataFrame, parts: int, add, build, result: str) -> DataFrame:
+    """Rows of `build` for each (kind, shard): it gets what `add` made of the blocks, one by one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        for b in batches:
+            for kind, shard, block in zip(b.column("kind").to_pylist(), b.column("shard").to_pylist(), b.column("block")):
+                if (kind, shard) != now:
+                    if now:
+                        yield build(*now, held)
+                    now, held = (kind, shard), []
+                add(kind, held, block.as_py())
+        if now:
+            yield build(*now, held)
+
+    return blocks.repartition(parts, "kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(run, result)
+
+
+def folded(held: list[tuple[np.ndarray, ...]], most: int = 0) -> None:
+    """Sum blocks of (context, word, count), or (key, count), down to one once they hold over `most` entries.
+
+    What is summed already counts as little until as much has come again.
+    """
+    if len(held) < 2 or sum(len(h[0]) for h in held[1:]) <= max(most, len(held[0][0]) if most else 0):
+        return
+    columns = [np.concatenate(x) for x in zip(*held)]
+    held.clear()
+    if len(columns) == 2:
+        held.append(summed(*columns))
+        return
+    kinds, at = np.unique(columns[0], return_inverse=True)
+    key, c = summed(at.astype(np.uint64) << np.uint64(32) | columns[1].astype(np.uint64), columns[2])
+    held.append((kinds[(key >> np.uint64(32)).astype(np.int64)], (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), c))
 
 
 def count_words(docs: DataFrame, folder: str, shards: int) -> tuple[list[int], int]:
@@ -177,17 +240,21 @@ def count_words(docs: DataFrame, folder: str, shards: int) -> tuple[list[int], i
             h = s.hashes[order]
             yield _batch(blocks(shard_of_hash(h, shards), shards, 1, h, c[order].astype("<u4")))
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        s = int(rows["shard"].iloc[0])
-        got = [unpacked(x, "<u8", "<u4") for x in rows["block"]]
-        h, c = summed(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).astype(np.uint64))
+    def add(kind: int, held: list, block: bytes) -> None:
+        h, c = unpacked(block, "<u8", "<u4")
+        held.append((h, c.astype(np.uint64)))
+        folded(held, FOLD)
+
+    def build(kind: int, s: int, held: list) -> pa.RecordBatch:
+        folded(held)
+        h, c = held[0]
         total = np.cumsum(c)
         arrays = {f"h_{k}": v for k, v in elias_fano(h, 1 << 64).items()}
         arrays |= {f"c_{k}": v for k, v in elias_fano(total, int(total[-1]) + 1).items()}
         write_arrays(folder, f"words-{s}", arrays)
-        return pd.DataFrame({"shard": [s], "n": [len(h)], "total": [int(total[-1])]})
+        return pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "n": [len(h)], "total": [int(total[-1])]})
 
-    made = source.mapInArrow(run, _ROW).groupBy("shard").applyInPandas(build, "shard int, n long, total long").collect()
+    made = in_parts(source.mapInArrow(run, _ROW), shards, add, build, "shard int, n long, total long").collect()
     sizes = [0] * shards
     for r in made:
         sizes[r["shard"]] = r["n"]
@@ -199,16 +266,9 @@ def _words(folder: str, sizes: tuple[int, ...]) -> Words:
     return Words(folder, list(sizes))
 
 
-@lru_cache(maxsize=1)
-def _follow(folder: str, there: tuple[int, ...]) -> dict[int, Follow]:
-    return {s: Follow(map_arrays(folder, f"follow-{s}")) for s in there}
-
-
-def id_shards(sizes: list[int]) -> np.ndarray:
-    """First id of each shard of contexts; BEGIN_ID belongs to the first."""
-    first = np.concatenate([[1], 1 + np.cumsum(sizes)])
-    first[0] = 0
-    return first
+@lru_cache(maxsize=4096)
+def _level(folder: str, name: str) -> Level:
+    return Level(map_arrays(folder, name))
 
 
 def chains(s: Slice, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,108 +281,127 @@ def chains(s: Slice, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return w, one, two
 
 
-def count_follow(docs: DataFrame, folder: str, sizes: list[int]) -> list[int]:
-    """Write the shards of pairs and triples; the numbers of those there are."""
+def followers(s: Slice, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(2 or 3, context, word, count) of a slice without unknown words, sorted."""
+    w, one, two = chains(s, ids)
+    pair, back, c = np.unique(one << 32 | w, return_inverse=True, return_counts=True)
+    yield 2, pair >> 32, pair & 0xFFFFFFFF, c
+    # the triple (two, one, w) as the pair (two, one) of the token before, and w
+    i = np.flatnonzero(two >= 0)
+    key, c = np.unique(back[i - 1] << 32 | w[i], return_counts=True)
+    yield 3, pair[key >> 32], key & 0xFFFFFFFF, c
+
+
+def sampled_borders(source: DataFrame, size: int, ranges: int, folder: str, sizes: tuple[int, ...]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By level: the (context, word) at which ranges begin, all but the first, from a sample of the texts."""
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_BYTES / max(1, size)))
+    rate = min(1.0, SAMPLE_KEYS * ranges / max(1.0, share * size / 8))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _words(folder, sizes)
+        for b in in_slices(batches, "_text", 16 << 20):
+            s = Slice(b.column("_text").to_pylist())
+            g = np.random.default_rng([len(s.at), int(s.hashes[0])])
+            for kind, context, word, c in followers(s, words.look_up(s.hashes)[0]):
+                at = np.flatnonzero(g.random(len(c)) < rate)  # an entry of a block is one, whatever its count
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind), pa.int32()), pa.array(context[at], pa.int64()), pa.array(word[at], pa.int64())], names=["kind", "context", "word"])
+
+    some = source if share == 1.0 else source.sample(share, 11)
+    # a fixed number of keys a range
+    got = some.mapInArrow(run, "kind int, context long, word long").collect()
+    out = {}
+    for kind in (2, 3):
+        keys = sorted((r["context"], r["word"]) for r in got if r["kind"] == kind)
+        chosen = sorted({keys[len(keys) * k // ranges] for k in range(1, ranges)}) if keys else []
+        out[kind] = tuple(np.array([x[j] for x in chosen], np.int64) for j in (0, 1))
+    return out
+
+
+def count_follow(docs: DataFrame, folder: str, sizes: list[int], size: int, ranges: int) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], frozenset[tuple[int, int]]]:
+    """Write the ranges of pairs and triples; their borders, and the (level, range) there are."""
     source = docs.select(whole_text("text").alias("_text"))
-    first, fixed, shards = id_shards(sizes), tuple(sizes), len(sizes)
-    bits = max(1, int(first[-1]).bit_length())
+    fixed = tuple(sizes)
+    bits = (sum(sizes) + 1).bit_length()
+    borders = sampled_borders(source, size, ranges, folder, fixed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(folder, fixed)
         for b in in_slices(batches, "_text", 16 << 20):
             s = Slice(b.column("_text").to_pylist())
-            w, one, two = chains(s, words.look_up(s.hashes)[0])
-            pair, back, c = np.unique(one << 32 | w, return_inverse=True, return_counts=True)
-            rows = blocks(np.searchsorted(first, pair >> 32, "right") - 1, shards, 2, pair.astype("<u8"), np.minimum(c, 2**32 - 1).astype("<u4"))
-            # the triple (two, one, w) as the pair (two, one) of the token before, and w
-            i = np.flatnonzero(two >= 0)
-            key, c = np.unique(back[i - 1] << 32 | w[i], return_counts=True)
-            left = pair[key >> 32]
-            rows += blocks(np.searchsorted(first, left >> 32, "right") - 1, shards, 3, left.astype("<u8"), (key & 0xFFFFFFFF).astype("<u4"), np.minimum(c, 2**32 - 1).astype("<u4"))
-            yield _batch(rows)
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        sh = int(rows["shard"].iloc[0])
-        got = [unpacked(x, "<u8", "<u4") for x in rows.loc[rows["kind"] == 2, "block"]]
-        pair, c2 = summed(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).astype(np.int64))
-        del got
-        n = int(first[sh + 1] - first[sh])
-        own = (pair >> np.uint64(32)).astype(np.int64) - first[sh]
-        a = {"head": np.array([first[sh], len(pair), bits], np.int64)}
-
-        def put(k: int, context: np.ndarray, contexts: int, word: np.ndarray, c: np.ndarray) -> None:
-            total = np.bincount(context, c, contexts)
-            start = np.concatenate([[0], np.cumsum(np.bincount(context, minlength=contexts))])
-            a.update({f"p{k}_{x}": v for x, v in elias_fano(start, len(word) + 1).items()})
-            a[f"w{k}"] = pack(word, bits)
-            a[f"q{k}"] = code(c / (total[context] + MU)) if len(c) else np.zeros(0, np.uint8)
-            a[f"g{k}"] = code(MU / (total + MU))
-
-        put(2, own, n, pair & np.uint64(0xFFFFFFFF), c2)
-        keys, words, counts = [], [], []
-        for x in rows.loc[rows["kind"] == 3, "block"]:
-            left, w, c = unpacked(x, "<u8", "<u4", "<u4")
-            keys.append(np.searchsorted(pair, left).astype(np.uint64) << np.uint64(32) | w)
-            counts.append(c)
-        key, c3 = summed(np.concatenate(keys), np.concatenate(counts).astype(np.int64)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        put(3, (key >> np.uint64(32)).astype(np.int64), len(pair), key & np.uint64(0xFFFFFFFF), c3)
-        write_arrays(folder, f"follow-{sh}", a)
-        return pd.DataFrame({"shard": [sh]})
-
-    made = source.mapInArrow(run, _ROW).groupBy("shard").applyInPandas(build, "shard int").collect()
-    return sorted(r["shard"] for r in made)
+            for kind, context, word, c in followers(s, words.look_up(s.hashes)[0]):
+                cut = cuts(context, word, borders[kind])
+                arrays = context.astype("<u8"), word.astype("<u4"), c.astype("<u4")
+                yield _batch([(k, kind, packed(*[a[lo:hi] for a in arrays])) for k, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo])
+
+    def add(kind: int, held: list, block: bytes) -> None:
+        context, word, c = unpacked(block, "<u8", "<u4", "<u4")
+        held.append((context, word, c.astype(np.int64)))
+        folded(held, FOLD)
+
+    def build(kind: int, k: int, held: list) -> pa.RecordBatch:
+        folded(held)
+        write_level(folder, f"follow{kind}-{k}", bits, *held[0])
+        return pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "shard": pa.array([k], pa.int32())})
+
+    made = in_parts(source.mapInArrow(run, _ROW), 2 * ranges, add, build, "kind int, shard int").collect()
+    return borders, frozenset((r["kind"], r["shard"]) for r in made)
 
 
 class Model:
     """Where the levels are, and the totals."""
 
-    def __init__(self, folder: str, sizes: list[int], total: int, there: list[int]):
-        self.folder, self.sizes, self.total, self.there = folder, tuple(sizes), total, tuple(there)
+    def __init__(self, folder: str, sizes: list[int], total: int, texts: int, borders: dict[int, tuple[np.ndarray, np.ndarray]], there: frozenset[tuple[int, int]]):
+        self.folder, self.sizes, self.total, self.texts = folder, tuple(sizes), total, texts
+        self.borders, self.there = borders, there
         self.kinds = sum(sizes)
 
+    def counts(self, kind: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Counts of sorted (context, word)."""
+        out = np.zeros(len(context), np.int64)
+        if self.there:
+            cut = cuts(context, word, self.borders[kind])
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                if (kind, k) in self.there:
+                    part = slice(cut[k], cut[k + 1])
+                    out[part] = _level(self.folder, f"follow{kind}-{k}").counts(context[part], word[part])
+        return out
+
 
 def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Model:
-    """Build the trie in the shared folder.  More shards keep a shard small on large input."""
+    """Build the trie in the shared folder; its number of parts follows the size of the texts."""
     spark = docs.sparkSession
-    shards = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
-    folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
     d = docs.select(F.col(text).alias("text"))
+    size, texts = d.agg(F.coalesce(F.sum(F.octet_length(whole_text("text"))), F.lit(0)), F.count("*")).first()
+    shards = shards or max(8, ceil(size / PART_BYTES))
+    folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
     sizes, total = count_words(d, folder, shards)
-    if sum(sizes) >= 2**32 - 1:
-        raise ValueError("more distinct words than 32-bit ids")
-    return Model(folder, sizes, total, count_follow(d, folder, sizes) if total else [])
+    if sum(sizes) >= 2**31 - 1:
+        raise ValueError("more distinct words than 31-bit ids")
+    return Model(folder, sizes, total, texts, *(count_follow(d, folder, sizes, size, shards) if total else ({}, frozenset())))
 
 
 def score_slice(m: Model, texts: list[str]) -> tuple[np.ndarray, ...]:
     """Per text: tokens, known tokens, base score, score."""
     s = Slice(texts)
-    words, follow, first = _words(m.folder, m.sizes), _follow(m.folder, m.there), id_shards(list(m.sizes))
-    ids, counts = words.look_up(s.hashes)
+    ids, counts = _words(m.folder, m.sizes).look_up(s.hashes)
     base = np.log10((counts + 1) / (m.total + m.kinds + 1))
     w, one, two = chains(s, ids)
-    p = 10.0 ** base[s.at]
+    before = np.concatenate([[m.texts], counts[s.at][:-1]])
+    before[s.starts] = m.texts
     pair, back = np.unique((one + 1) << 32 | (w + 1), return_inverse=True)
     prev, cur = (pair >> 32) - 1, (pair & 0xFFFFFFFF) - 1
-    place = np.full(len(pair), -1, np.int64)
-    pa2, ga2 = np.zeros(len(pair)), np.ones(len(pair))
-    shard = np.where(prev >= 0, np.searchsorted(first, prev, "right") - 1, -1)
-    for sh, f in follow.items():
-        at = np.flatnonzero(shard == sh)
-        if len(at):
-            place[at], pa2[at], ga2[at] = f.level(2, prev[at] - f.low, cur[at])
-    p = pa2[back] + ga2[back] * p
+    known = np.flatnonzero((prev >= 0) & (cur >= 0))
+    c2 = np.zeros(len(pair), np.int64)
+    c2[known] = m.counts(2, prev[known], cur[known])
+    p = (c2[back] + MU * 10.0 ** base[s.at]) / (before + MU)
     i = np.flatnonzero(two >= 0)
-    context = back[i - 1]
-    i, context = i[place[context] >= 0], context[place[context] >= 0]
-    if len(i):
-        key, back3 = np.unique(context << 32 | (w[i] + 1), return_inverse=True)
-        ctx, cur = key >> 32, (key & 0xFFFFFFFF) - 1
-        pa3, ga3 = np.zeros(len(key)), np.ones(len(key))
-        for sh, f in follow.items():
-            at = np.flatnonzero(shard[ctx] == sh)
-            if len(at):
-                _, pa3[at], ga3[at] = f.level(3, place[ctx[at]], cur[at])
-        p[i] = pa3[back3] + ga3[back3] * p[i]
+    i = i[c2[back[i - 1]] > 0]
+    key, back3 = np.unique(back[i - 1] << 32 | (w[i] + 1), return_inverse=True)
+    context, cur3 = key >> 32, (key & 0xFFFFFFFF) - 1
+    known = np.flatnonzero(cur3 >= 0)
+    c3 = np.zeros(len(key), np.int64)
+    c3[known] = m.counts(3, prev[context[known]] << 32 | cur[context[known]], cur3[known])
+    p[i] = (c3[back3] + MU * p[i]) / (c2[back[i - 1]] + MU)
     total = lambda x: np.add.reduceat(x, s.starts)  # noqa: E731  every text has a token
     return s.ends - s.starts, total((counts > 0)[s.at].astype(np.int64)), total(base[s.at]), total(np.log10(p))
 

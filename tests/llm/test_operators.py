@@ -301,6 +301,23 @@ def test_lm_scores_count_what_was_seen_once(spark, lm_texts):
     assert (np.abs(got - want) <= 0.055 * n).all()  # a code is off by 0.018, and there are up to three
 
 
+def test_lm_ranges_split_a_frequent_context(spark, lm_texts, monkeypatch):
+    train, asked = lm_texts
+    monkeypatch.setattr(lm, "PART_BYTES", 1 << 9)
+    monkeypatch.setattr(lm, "FOLD", 50)
+    often = [f"the t{i} the" for i in range(300)]  # a third of the pairs and more begin with one word
+    train = [*train, *often]
+    m = lm.train(spark.createDataFrame(enumerate(train), "doc_id long, text string").repartition(7))
+    context, of = np.unique(m.borders[2][0], return_counts=True)
+    assert len(m.sizes) > 20 and of.max() >= 3
+    assert len([x for x in m.there if x[0] == 2]) > 10 and len([x for x in m.there if x[0] == 3]) > 10
+    few = lm.train(spark.createDataFrame(enumerate(often), "doc_id long, text string").limit(20))
+    assert len(few.sizes) < len(m.sizes)
+    asked = [*asked, *often[:50], "the the", "the t5 t6 the t7"]
+    got = lm.score_slice(m, asked)[3]
+    assert np.allclose(got, [lm_brute_force(train, t) for t in asked], atol=1e-9)
+
+
 def test_toxicity(spark, docs, none):
     g = random.Random(8)
     made = [(i, text(g, 40) + (f" zonk{g.choice('abc')}ed " if i % 3 == 0 else " ") + text(g, 10)) for i in range(600)]
