@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from scanlake.llm.common import byte_rows, in_slices, stage, text_key, whole_text
@@ -39,6 +39,7 @@ from scanlake.llm.suffixes import Names
 EDITS = 0.05
 GRAM = 12
 MAP_BITS = 24
+PART = 1 << 15  # bits that bitmap_construct_agg holds
 WALKS, SAMPLES, BITS = 4, 5, 6
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -150,22 +151,35 @@ def gram_map(items: DataFrame) -> tuple[np.ndarray, dict[int, list[int]]]:
                 slots = np.unique(gram_slots(raw))
                 yield pa.RecordBatch.from_arrays([pa.array([*slots.tolist(), -len(raw)], pa.int64())], names=["v"])
 
-    # distinct slots are below 2^MAP_BITS, distinct lengths are few: a bounded result
-    got = np.array([r[0] for r in items.select("_text").mapInArrow(run, "v long").distinct().collect()], np.int64)
-    bits = np.zeros(1 << MAP_BITS, bool)
-    bits[got[got >= 0]] = True
+    # lengths are negative: a row of the distinct ones, which are few
+    found = items.select("_text").mapInArrow(run, "v long").withColumn("n", F.when(F.col("v") < 0, -F.col("v")))
+    got = bit_rows(found, F.collect_set("n").alias("n"))
     classes: dict[int, list[int]] = {}
-    for n in sorted((-got[got < 0]).tolist()):
+    for n in sorted(n for r in got if r["part"] < 0 for n in r["n"]):
         classes.setdefault(size_class(n), []).append(n)
-    return np.packbits(bits), classes
+    return bit_map(got), classes
+
+
+def bit_rows(slots: DataFrame, *more: Column) -> list[Row]:
+    """(part, bits) of column v, made in Spark: at most 2^MAP_BITS / PART rows, and part -1 of negative ones."""
+    part = F.when(F.col("v") < 0, F.lit(-1)).otherwise(F.shiftright("v", PART.bit_length() - 1))
+    place = F.when(F.col("v") >= 0, F.col("v").bitwiseAND(F.lit(PART - 1)))
+    return slots.withColumn("part", part.cast("int")).withColumn("place", place).groupBy("part").agg(F.bitmap_construct_agg("place").alias("bits"), *more).collect()
+
+
+def bit_map(rows: list[Row]) -> np.ndarray:
+    bits = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+    for r in rows:
+        if r["part"] >= 0:
+            at = r["part"] * PART // 8
+            bits[at: at + PART // 8] = np.packbits(np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little"))
+    return bits
 
 
 def key_map(known: DataFrame) -> np.ndarray:
     """Bit map of the items' LSH keys."""
-    slots = known.select(F.explode("keys").alias("k")).select(F.shiftrightunsigned("k", 64 - MAP_BITS).alias("s")).distinct()
-    bits = np.zeros(1 << MAP_BITS, bool)
-    bits[[r[0] for r in slots.collect()]] = True  # below 2^MAP_BITS
-    return np.packbits(bits)
+    slots = known.select(F.explode("keys").alias("k")).select(F.shiftrightunsigned("k", 64 - MAP_BITS).alias("v"))
+    return bit_map(bit_rows(slots))
 
 
 def in_map(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:

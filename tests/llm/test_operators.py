@@ -318,6 +318,24 @@ def test_lm_ranges_split_a_frequent_context(spark, lm_texts, monkeypatch):
     assert np.allclose(got, [lm_brute_force(train, t) for t in asked], atol=1e-9)
 
 
+def test_decontaminate_maps_are_made_in_spark(spark, monkeypatch):
+    g = random.Random(14)
+    texts = [text(g, 60) for _ in range(200)]
+    items = decontaminate._items(spark.createDataFrame(enumerate(texts), "item_id long, text string"), "item_id", "text")
+    keys = [[g.getrandbits(64) - 2**63 for _ in range(20)] for _ in range(100)]
+    known = spark.createDataFrame([(k,) for k in keys], "keys array<long>")
+    sent, collect = [], type(known).collect
+    monkeypatch.setattr(type(known), "collect", lambda d: sent.append(collect(d)) or sent[-1])
+    got, classes = decontaminate.gram_map(items)
+    raws = [decontaminate.plain(np.frombuffer(t.encode(), np.uint8)) for t in texts]
+    slots = np.unique(np.concatenate([decontaminate.gram_slots(r) for r in raws]))
+    assert np.flatnonzero(np.unpackbits(got)).tolist() == slots.tolist()
+    assert sorted(n for c in classes.values() for n in c) == sorted({len(r) for r in raws})
+    want = sorted({(k & (1 << 64) - 1) >> 64 - decontaminate.MAP_BITS for ks in keys for k in ks})
+    assert np.flatnonzero(np.unpackbits(decontaminate.key_map(known))).tolist() == want
+    assert len(slots) > 1000 and all(len(s) <= 513 for s in sent)
+
+
 def test_toxicity(spark, docs, none):
     g = random.Random(8)
     made = [(i, text(g, 40) + (f" zonk{g.choice('abc')}ed " if i % 3 == 0 else " ") + text(g, 10)) for i in range(600)]
