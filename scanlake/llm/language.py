@@ -129,7 +129,9 @@ def fit(texts: list[tuple[str, str]], seed: int = 5) -> BiGru | None:
         return None
     pool = {y: [] for y in labels}
     for t, y in texts:
-        pool[y] += [w.encode("utf-8", "surrogatepass")[:SEGMENT] for w in segments(t)]
+        for w in segments(t):
+            raw = w.encode("utf-8", "surrogatepass")
+            pool[y] += [raw[lo: lo + SEGMENT] for lo in range(0, len(raw), SEGMENT)]
     labels = [y for y in labels if pool[y]]
     if not labels:
         return None

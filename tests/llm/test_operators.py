@@ -376,6 +376,15 @@ def test_language(spark, docs, none):
     assert language.language(none).count() == 0
 
 
+def test_language_learns_every_segment_of_a_long_run():
+    g = random.Random(13)
+    run = lambda s: "q" * language.SEGMENT + "".join(g.choice(s) for _ in range(2 * language.SEGMENT))
+    m = language.fit([(run(s), y) for _ in range(60) for s, y in (("abcde", "aa"), ("vwxyz", "zz"))])
+    tail = lambda s: run(s)[language.SEGMENT:]
+    got = language.position_sums(m, [tail("abcde") for _ in range(20)] + [tail("vwxyz") for _ in range(20)])
+    assert m.labels == ["aa", "zz"] and (got[:, :2].argmax(1) == np.repeat([0, 1], 20)).all() and (got[:, :2].max(1) > 0.9 * got[:, 2]).all()
+
+
 def test_language_gradient_and_spans():
     m = language.BiGru(["a", "b"], hidden=3, seed=1)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
