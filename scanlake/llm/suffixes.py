@@ -1,16 +1,14 @@
 """Suffix-array de-duplication: remove bytes covered by long strings that start twice.
 
 A byte goes if a string of `least` bytes covers it that also starts anywhere else.  Two
-starts belong together if their first `least` bytes are equal, which prefix doubling
-finds: starts are ranked by a prefix, then by the pair (own rank, rank at an offset of
-the ranked length), the length doubling each round; a start whose pair is unique drops
-out, and the others go on until the threshold is reached.  A rank only has to tell equal
-from unequal, so the 64-bit name of a string serves as its rank, and Spark brings equal
-pairs together.
+starts belong together if their first `least` bytes are equal.  This is anchor hashing,
+not prefix doubling: tasks make 64-bit names (rolling hashes) of strings, a pair of names
+stands for a longer string, and Spark only brings equal pairs together, in two rounds.  No
+ranks are assigned, no offset grows round by round.
 
 Round one does not need every start.  In every window of least/4 starts one *anchor* is
 chosen by its content (the least hash, the last of equals), so that equal strings choose
-the same one.  All starts of an anchor form its zone.  Anchors are ranked by the pair of
+the same one.  All starts of an anchor form its zone.  Anchors are grouped by the pair of
 names at 0 and 3/8 of `least`, 3/4 of it together; unique ones drop out with their zones.
 If the whole text that a zone's starts cover stands elsewhere too, the zone needs no
 further round: all its starts are repeated.  Only in the other zones, at the ends of
