@@ -24,7 +24,6 @@ columns of `docs` other than the id and the text are not read.
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import re
 import struct
@@ -38,8 +37,9 @@ from pyspark.sql import functions as F
 
 from scanlake.llm.common import in_slices, stage, whole_text
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 PIECE = 64 << 10
+BATCH = 256 << 10
 #: An id pair is one number: A's id times 2^B_BITS, plus B's id.
 B_BITS = 15
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -69,7 +69,7 @@ class Pair:
         self.a, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
         alphabet = byte_alphabet()
-        vocab = json.loads(self.a.to_str())["model"]["vocab"]
+        vocab = self.a.get_vocab(with_added_tokens=False)
         self.a_bytes = [b""] * self.a.get_vocab_size()
         for token, i in vocab.items():
             self.a_bytes[i] = bytes(alphabet[c] for c in token)
@@ -220,9 +220,14 @@ def align_texts(both: Pair, texts: list[str]) -> tuple[list[Document], np.ndarra
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
+def place_type(pairs: int) -> str:
+    """The numbers that name a place among so many pairs."""
+    return "<u2" if pairs <= 1 << 16 else "<u4"
+
+
 def aligned_slices(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text: str = "text", most: int = SLICE) -> DataFrame:
     """One row a slice: its documents in order (ids, counts, digests), `links` (places in
-    `pairs`, 32-bit numbers), and its distinct id pairs with how often each is linked here."""
+    `pairs`, packed), and its distinct id pairs with how often each is linked here."""
     source = docs.select(F.col(id_col).alias("doc_id"), whole_text(text).alias("text"))
     kind = source.schema["doc_id"]
     fields = ", ".join(f"{c} array<bigint>" for c in _COUNTS)
@@ -237,12 +242,12 @@ def aligned_slices(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc
             ids = pa.concat_arrays(ids)
             return pa.RecordBatch.from_arrays([
                 pa.array([made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *[pa.array(x, pa.list_(pa.int64())) for x in lists],
-                pa.array([[d.digest() for d in done]], pa.list_(pa.string())), pa.array([at.astype("<u4").tobytes()], pa.binary()),
+                pa.array([[d.digest() for d in done]], pa.list_(pa.string())), pa.array([at.astype(place_type(len(pairs))).tobytes()], pa.binary()),
                 pa.array([pairs.astype(np.int32)], pa.list_(pa.int32())), pa.array([times.astype(np.int32)], pa.list_(pa.int32()))],
                 names=["slice", "doc_id", *_COUNTS, "groups_sha256", "links", "pairs", "times"])
 
         ids, done, links, size = [], [], [], 0
-        for b in in_slices(batches, "text", min(most, 1 << 20)):
+        for b in in_slices(batches, "text", min(most, BATCH)):
             found, new = align_texts(both, b.column("text").to_pylist())
             ids.append(b.column("doc_id"))
             done += found
@@ -275,7 +280,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
             for i in range(b.num_rows):
                 r = b.slice(i, 1)
                 own = {c: r.column(c).flatten() for c in ("doc_id", *_COUNTS, "groups_sha256")}
-                links = np.frombuffer(r.column("links")[0].as_buffer(), "<u4")
+                links = np.frombuffer(r.column("links")[0].as_buffer(), place_type(len(r.column("counts").flatten())))
                 ends = np.cumsum(own["n_links"].to_numpy())
                 sums = []
                 for c in ("best", "counts"):
