@@ -8,12 +8,13 @@ from queries import duck as d
 from queries.views import view
 from scanlake.functions import severity as S
 from scanlake.functions.text import key_text
-from scanlake.functions.titles import family_and_title, select_template, version_lt
+from scanlake.functions.titles import family_and_title, version_lt
 from scanlake.operators import dedupe as dd
 from scanlake.operators import falsepos as fp
 from scanlake.operators import grouping as g
-from scanlake.operators import match as m
+from scanlake.operators import names as nm
 from scanlake.operators import rollup as r
+from scanlake.operators.keywords import keyword_join, rule_hits
 from scanlake.session import stable
 from scanlake.sources.scans import resolve_columns, union_scans
 from scanlake.tables import fixed
@@ -92,18 +93,42 @@ def severity_resolve(spark, sf):
             F.col("row_id") % 5 == 0, F.lit("weird")).otherwise(F.col("severity")),
         "cvss": F.when(F.col("row_id") % 2 == 0, F.col("cvss")),
     })
-    rules = [(i, w, label) for i, (label, w) in enumerate(
-        (label, w) for label, ws in fixed.SEVERITY_KEYWORDS for w in ws)]
+    rules = spark.createDataFrame(
+        [(i, w, label) for i, (label, w) in enumerate((label, w) for label, ws in fixed.SEVERITY_KEYWORDS for w in ws)],
+        "ordinal int, keyword string, label string")
     hay = F.lower(F.concat_ws(" ", F.col("name"), F.col("description")))
-    return base.withColumn("_hay", hay).select(
+    return keyword_join(base.withColumn("_hay", hay), "row_id", "_hay", rules, "from_keywords").select(
         "row_id",
         S.severity_resolved(F.col("sev"), F.col("cvss"), F.col("name"), F.col("description"))
         .alias("resolved"),
         S.severity_from_cvss(F.col("cvss")).alias("from_cvss"),
-        m.match_keywords(F.col("_hay"), rules).alias("from_keywords"),
+        "from_keywords",
     )
 
 
+def _keyword_rules(spark, sf):
+    """Rules made from the parts: product names, stems of them, and brands."""
+    p = view(spark, sf, "part")
+    rule = lambda n, keyword, label: F.struct((F.col("p_partkey") * 3 + n).alias("ordinal"), keyword.alias("keyword"), label.alias("label"))
+    return p.select(F.inline(F.array(
+        rule(0, F.concat(F.lower("p_name"), F.lit(" exposed. vendor "), F.lower("p_brand"), F.lit(".")), F.col("p_type")),
+        rule(1, F.concat(F.lower("p_type"), F.lit(" component "), F.expr("substring(p_name, 1, 3)")), F.col("p_name")),
+        rule(2, F.concat(F.lit("#"), F.col("p_partkey").cast("string")), F.col("p_brand")))))
+
+
+def keyword_hits(spark, sf):
+    """How many rows contain each keyword, and the first of them."""
+    hay = scan(spark, sf).select("row_id", F.lower(F.concat_ws(" ", "name", "description")).alias("hay"))
+    return rule_hits(hay, "row_id", "hay", _keyword_rules(spark, sf)).groupBy("keyword").agg(
+        F.count("*").alias("rows"), F.min("row_id").alias("first_row"), F.min("ordinal").alias("ordinal"), F.max("label").alias("label"))
+
+
+def keyword_labels(spark, sf):
+    """The first rule's label for every row."""
+    hay = scan(spark, sf).select("row_id", F.lower(F.concat_ws(" ", "name", "description")).alias("hay"))
+    return keyword_join(hay, "row_id", "hay", _keyword_rules(spark, sf)).select("row_id", "label")
+
+
 RAW_FIELDS = ["name", "severity", "vuln_id", "cve", "cvss", "description", "remediation",
               "affected_assets", "observation", "remediation_status", "risk_status"]
 RAW_COLS = ["pos", "report_id", *RAW_FIELDS]
@@ -170,13 +195,13 @@ def _sides(spark, sf):
 
 
 def gap_analysis(spark, sf):
-    return m.gap_analysis(*_sides(spark, sf))
+    return nm.gap_analysis(*_sides(spark, sf))
 
 
 def closest_name(spark, sf):
     a, b = _sides(spark, sf)
-    gaps = m.gap_analysis(a, b)
-    return m.closest_name(gaps.filter("side = 'a_only'"), b, 0.5)
+    gaps = nm.gap_analysis(a, b)
+    return nm.closest_name(gaps.filter("side = 'a_only'"), b, 0.5)
 
 
 def scan_vuln_summary(spark, sf):
@@ -186,7 +211,7 @@ def scan_vuln_summary(spark, sf):
 def host_consolidation(spark, sf):
     _, b = _sides(spark, sf)
     summary = r.scan_vuln_summary(g.normalise_rows(scan(spark, sf)))
-    return m.host_consolidation(b, summary, 0.6)
+    return nm.host_consolidation(b, summary, 0.6)
 
 
 TEMPLATES = {
@@ -209,11 +234,11 @@ TEMPLATES = {
 
 
 def templates(spark, sf):
-    from scanlake.operators.templates import render_templates
+    from scanlake.operators.templates import choose_templates, render_templates
 
-    rows = g.normalise_rows(scan(spark, sf)).withColumns({
-        "lower": F.lower("raw_name")})
-    picked = rows.withColumn("_s", select_template(F.col("raw_name"), F.col("lower")))
+    eol = spark.createDataFrame([(i, *x) for i, x in enumerate(fixed.EOL_PATHS)], "ordinal int, word string, template_key string, upgrade_targets string")
+    services = spark.createDataFrame([(i, *x) for i, x in enumerate(fixed.SERVICE_TEMPLATES)], "ordinal int, word string, template_key string")
+    picked = choose_templates(g.normalise_rows(scan(spark, sf)).select("row_id", "raw_name"), "row_id", "raw_name", eol, services)
     table = spark.createDataFrame(list(TEMPLATES.items()), "template_key string, template string")
     return render_templates(picked, table).select("row_id", "template_key", "recommendation")
 
@@ -227,6 +252,8 @@ QUERIES = {
     "drop_informational": drop_informational,
     "false_positive_split": false_positive_split,
     "severity_resolve": severity_resolve,
+    "keyword_hits": keyword_hits,
+    "keyword_labels": keyword_labels,
     "dedupe_vuln_id": dedupe_vuln_id,
     "merged_assets": merged_assets,
     "dedupe_fingerprint": dedupe_fingerprint,
@@ -329,8 +356,18 @@ _NORM_RAW = f"""nr AS (SELECT pos, {d.squeeze('name')} AS name,
   concat_ws(' ', description, CASE WHEN pos % 2 = 0 THEN 'Seen on 10.9.8.7:22 and db1.corp.example.' END) AS dsc FROM raw_findings),
 nx AS (SELECT pos, name, severity, list_concat(a, regexp_extract_all(dsc, '{_IP_PORT}'), regexp_extract_all(dsc, '{_HOST_PORT}')) AS l FROM nr)"""
 
+_RULES = f"""{d.SCAN}, rules AS (SELECT keyword, arg_min(label, ordinal) AS label, min(ordinal) AS ordinal FROM (
+  SELECT p_partkey * 3 AS ordinal, lower(p_name) || ' exposed. vendor ' || lower(p_brand) || '.' AS keyword, p_type AS label FROM part
+  UNION ALL SELECT p_partkey * 3 + 1, lower(p_type) || ' component ' || p_name[1:3], p_name FROM part
+  UNION ALL SELECT p_partkey * 3 + 2, '#' || CAST(p_partkey AS VARCHAR), p_brand FROM part) GROUP BY keyword),
+hays AS (SELECT row_id, lower(concat_ws(' ', name, description)) AS hay FROM scan_rows),
+texts AS (SELECT DISTINCT hay FROM hays),
+hits AS (SELECT hay, keyword, ordinal, label FROM texts JOIN rules ON contains(hay, keyword))"""
+
 
 ORACLE = {
+    "keyword_hits": d.q(_RULES, "SELECT keyword, count(*) AS rows, min(row_id) AS first_row, min(ordinal) AS ordinal, max(label) AS label FROM hays JOIN hits USING (hay) GROUP BY keyword"),
+    "keyword_labels": d.q(_RULES, "SELECT row_id, label FROM hays LEFT JOIN (SELECT hay, arg_min(label, ordinal) AS label FROM hits GROUP BY hay) USING (hay)"),
     "group_findings": d.q(d.GROUPED, f"SELECT {', '.join(FINDING_COLS)} FROM grouped"),
     "finding_assets": d.q(d.GROUPED, "SELECT * FROM assets"),
     "scan_normalise": d.q(d.TITLED, f"""SELECT row_id, report_id, raw_name, severity, vuln_id, cve, cvss, asset, observation, remediation_status, risk_status, status_family,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,13 +92,15 @@ def _vars(**kv: Column | str) -> Column:
 def select_template(
     title: Column,
     lower: Column,
-    eol_paths: Sequence[tuple[str, str, str]] = fixed.EOL_PATHS,
-    services: Sequence[tuple[str, str]] = fixed.SERVICE_TEMPLATES,
+    eol_path: Column,
+    service: Column,
 ) -> Column:
     """struct(key, vars): the recommendation template for a title; NULL when none fits.
 
     `lower` holds the lower-cased title.  The first rule that holds wins; SSH ciphers come before ciphers in general.
-    `eol_paths` and `services` are the small look-ups of a template payload.
+    `eol_path` (struct template_key, upgrade_targets) and `service` (a template key) are
+    what the look-ups of a template payload give for the title, or NULL; see
+    `operators.templates.choose_templates`.
     """
     raw, t = title, lower
 
@@ -109,9 +109,9 @@ def select_template(
 
     ladder = None
 
-    def rule(cond: Column, key: str, **kv) -> None:
+    def rule(cond: Column, key: Column | str, **kv) -> None:
         nonlocal ladder
-        value = F.struct(F.lit(key).alias("key"), _vars(**kv).alias("vars"))
+        value = F.struct((key if isinstance(key, Column) else F.lit(key)).alias("key"), _vars(**kv).alias("vars"))
         ladder = F.when(cond, value) if ladder is None else ladder.when(cond, value)
 
     rule(has("ssh") & has("cbc", "cipher", "weak algorithm"), "ssh_weak_ciphers")
@@ -143,16 +143,15 @@ def select_template(
          "certificate_trust")
     rule(has("weak hash", "sha-1 certificate", "md5 certificate", "sha1 sign"),
          "certificate_weak_hash")
-    for word, key, targets in eol_paths:
-        rule(has(word), key, upgrade_targets=targets)
+    rule(eol_path.isNotNull(), eol_path["template_key"], upgrade_targets=eol_path["upgrade_targets"])
     rule(has("unsupported version", "end of life", "eol", "end-of-life"), "eol_generic")
     rule(has("snmp") & has("default", "community", "public"), "snmp_default")
     rule(has("smb") & has("signing"), "smb_signing")
     rule(has("hsts", "strict-transport-security", "strict transport security"), "hsts_missing")
     rule(has("clickjacking", "x-frame-options", "frame-ancestors"), "clickjacking")
     rule(has("security header"), "security_headers_generic")
-    for word, service in fixed.LEGACY_SERVICES:
-        rule(has(word), "legacy_service", service_name=service)
+    for word, legacy in fixed.LEGACY_SERVICES:
+        rule(has(word), "legacy_service", service_name=legacy)
     open_access = has("exposed", "unauthorized", "information disclosure", "open access")
     for word in fixed.DATA_SERVICES:
         rule(has(word) & open_access, "database_exposure", service=word.capitalize())
@@ -174,9 +173,8 @@ def select_template(
     rule(has("directory listing", "directory browsing", "browsable", "directory enumeration"),
          "directory_listing")
     version = F.regexp_extract(raw, r"<\s*(\d+\.\d+(?:\.\d+)?)", 1)
-    for word, key in services:
-        rule(has(word), key,
-             fixed_version=F.when(version == "", F.lit("latest")).otherwise(version))
+    rule(service.isNotNull(), service,
+         fixed_version=F.when(version == "", F.lit("latest")).otherwise(version))
     rule(version != "", "outdated_service_generic",
          product=strip(F.substring_index(raw, "<", 1)), fixed_version=version)
     return ladder

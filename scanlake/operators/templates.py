@@ -1,10 +1,32 @@
-"""Rendering recommendation templates."""
+"""Choosing and rendering recommendation templates."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanlake.functions.titles import select_template
+from scanlake.operators.keywords import keyword_join
+
+
+def choose_templates(
+    rows: DataFrame, key: str, title: str, eol_paths: DataFrame, services: DataFrame,
+    choice: str = "_s",
+) -> DataFrame:
+    """Add the template choice (key, vars) of every title; `key` is unique.
+
+    `eol_paths` (ordinal, word, template_key, upgrade_targets) and `services` (ordinal,
+    word, template_key) are the look-up tables of a payload, of any size; the first word
+    that the lower-cased title contains counts.
+    """
+    eol = eol_paths.select("ordinal", F.col("word").alias("keyword"), F.struct("template_key", "upgrade_targets").alias("label"))
+    named = services.select("ordinal", F.col("word").alias("keyword"), F.col("template_key").alias("label"))
+    rows = rows.withColumn("_lower", F.lower(title))
+    rows = keyword_join(rows, key, "_lower", eol, "_eol")
+    rows = keyword_join(rows, key, "_lower", named, "_service")
+    picked = select_template(F.col(title), F.col("_lower"), F.col("_eol"), F.col("_service"))
+    return rows.withColumn(choice, picked).drop("_lower", "_eol", "_service")
+
 
 def render_templates(picked: DataFrame, templates: DataFrame, choice: str = "_s") -> DataFrame:
     """Fill the chosen template of each row.

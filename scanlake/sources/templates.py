@@ -14,18 +14,20 @@ PAYLOAD_SCHEMA = (
     "EOL_UPGRADE_PATHS map<string,struct<upgrade_targets:string,template:string>>, "
     "SERVICE_HARDENING map<string,string>"
 )
-MAX_LOOKUPS = 1000
 
 
 def load_templates(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The three tables of a template payload: templates, eol_paths, services."""
+    """The three tables of a template payload: templates, eol_paths, services.
+
+    The look-ups keep the payload's order in `ordinal`.
+    """
     raw = spark.read.schema(PAYLOAD_SCHEMA).option("multiLine", True).json(path)
     return {
         "templates": raw.select(
             F.explode("RECOMMENDATION_TEMPLATES").alias("template_key", "template")),
-        "eol_paths": raw.select(F.explode("EOL_UPGRADE_PATHS").alias("word", "_p")).select(
-            "word", F.col("_p.template").alias("template_key"), "_p.upgrade_targets"),
-        "services": raw.select(F.explode("SERVICE_HARDENING").alias("word", "template_key")),
+        "eol_paths": raw.select(F.posexplode("EOL_UPGRADE_PATHS").alias("ordinal", "word", "_p")).select(
+            "ordinal", "word", F.col("_p.template").alias("template_key"), "_p.upgrade_targets"),
+        "services": raw.select(F.posexplode("SERVICE_HARDENING").alias("ordinal", "word", "template_key")),
         "violations": template_violations(raw),
     }
 
@@ -60,14 +62,6 @@ def require_valid(tables: dict[str, DataFrame]) -> None:
         raise ValueError(bad[0]["violation"])
 
 
-def lookups(table: DataFrame, limit: int = MAX_LOOKUPS) -> list[tuple]:
-    """A small look-up as rows for a rule ladder; more than `limit` rows is an error."""
-    rows = table.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"a rule look-up may have at most {limit} rows")
-    return [tuple(r) for r in rows]
-
-
 CORPUS_FIELDS = [
     "name", "severity", "status", "affected", "impact", "cve_cwe", "control_objective",
     "control_name", "audit_requirement", "recommendation", "reference", "repeat_status",

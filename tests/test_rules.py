@@ -8,12 +8,13 @@ from scanlake.functions import derive as D
 from scanlake.functions import ids as I
 from scanlake.functions import severity as S
 from scanlake.functions import text as T
-from scanlake.functions.titles import family_and_title, select_template, version_lt
+from scanlake.functions.titles import family_and_title, version_lt
 from scanlake.operators import dedupe as dd
 from scanlake.operators import falsepos as fp
 from scanlake.operators import privacy as P
 from scanlake.operators import quality as Q
-from scanlake.operators.templates import render_templates
+from scanlake.operators.templates import choose_templates, render_templates
+from scanlake.tables import fixed
 
 
 def one(spark, schema, *rows):
@@ -192,8 +193,10 @@ def test_scores(spark):
 def test_template_precedence_and_rendering(spark):
     titles = ["SSH Weak Cipher CBC", "TLS 1.0 and TLS 1.1 enabled", "Ubuntu 16.04 end of life", "OpenSSH < 9.6",
               "Acme < 2.3.4 flaw", "nothing here"]
-    df = one(spark, "t string", *[(t,) for t in titles]).withColumn("l", F.lower("t"))
-    picked = df.withColumn("_s", select_template(F.col("t"), F.col("l")))
+    df = one(spark, "i int, t string", *enumerate(titles))
+    eol = one(spark, "ordinal int, word string, template_key string, upgrade_targets string", *[(i, *x) for i, x in enumerate(fixed.EOL_PATHS)])
+    services = one(spark, "ordinal int, word string, template_key string", *[(i, *x) for i, x in enumerate(fixed.SERVICE_TEMPLATES)])
+    picked = choose_templates(df, "i", "t", eol, services).orderBy("i")
     assert values(picked, F.col("_s.key")) == ["ssh_weak_ciphers", "deprecated_tls", "eol_ubuntu", "openssh_outdated",
                                                "outdated_service_generic", None]
     table = one(spark, "template_key string, template string", ("deprecated_tls", "Drop {deprecated_version}."),

@@ -4,14 +4,17 @@ import math
 import random
 import re
 
+import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from queries.views import view
 from scanlake.operators import grouping as g
 from scanlake.operators import match as m
+from scanlake.operators import names as nm
 from scanlake.operators import rollup as r
 from scanlake.operators.history import upsert
+from scanlake.operators.keywords import keyword_join, rule_hits
 from scanlake.operators.ordinal import first_k, number_by_order, prefix_sums
 
 SF = "/root/testdata/sf0.001"
@@ -76,10 +79,73 @@ def test_closest_name_matches_brute_force(spark):
         if -best[0] > 0.6:
             want[x] = best[1]
     df = lambda s: spark.createDataFrame([(x,) for x in s], "name string")
-    got = {r.name: r.match for r in m.closest_name(df(a), df(b), 0.6).collect()}
+    got = {r.name: r.match for r in nm.closest_name(df(a), df(b), 0.6).collect()}
     assert got == want
 
 
+def _names(seed, n):
+    """Titles with near copies: a few edits away, short ones, repeated letters, and unrelated ones."""
+    rnd = random.Random(seed)
+    words = ["ssl", "weak", "cipher", "suites", "supported", "server", "open", "port", "old", "tls", "apache", "1.2", "2.4.5", "aaaa", "remote", "code"]
+    base = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 7))) for _ in range(n)]
+
+    def near(x):
+        x = list(x)
+        for _ in range(rnd.choice([0, 1, 1, 2, 3])):
+            at = rnd.randrange(len(x) + 1)
+            x[at: at + rnd.randint(0, 1)] = rnd.choice(["", "q", "e", " ", "ab"])
+        return "".join(x).strip() or "x"
+
+    short = ["a", "b", "ab", "ba", "abc", "aa", "aaa", "aaaa", "tls", "ssl 3", "ssl 2"]
+    left = {near(x) for x in base} | set(rnd.sample(short, 6)) | {"".join(rnd.choice("abcdefgh ") for _ in range(20)).strip() for _ in range(n // 10)}
+    return left, set(base) | set(rnd.sample(short, 6))
+
+
+@pytest.mark.parametrize("minimum", [0.5, 0.75])
+def test_closest_name_equals_brute_force_on_many_names(spark, minimum):
+    a, b = _names(9, 300)
+    want = {}
+    for x in a:
+        best = min((-round(1 - _edit(x, y) / max(len(x), len(y)), 9), y) for y in b if min(len(x), len(y)) >= minimum * max(len(x), len(y)) - 1)
+        if -best[0] > minimum:
+            want[x] = (best[1], -best[0])
+    df = lambda s: spark.createDataFrame([(x,) for x in s], "name string")
+    got = {r.name: (r.match, r.similarity) for r in nm.closest_name(df(a), df(b), minimum).collect()}
+    assert got == want
+    assert nm.closest_name(df(a).limit(0), df(b), minimum).count() == 0 and nm.closest_name(df(a), df(b).limit(0), minimum).count() == 0
+
+
+def test_closest_name_compares_few_pairs(spark):
+    """Nearly all names are settled by a join on rare grams; pairs met stay below a tenth of all."""
+    a, b = _names(4, 3000)
+    df = lambda s: nm.distinct_names(spark.createDataFrame([(x,) for x in s], "name string"))
+    grams = nm.name_grams(df(b))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("names"))
+    filed, asked = nm.rare_first(grams, counts), nm.rare_first(nm.name_grams(df(a)), counts)
+    pairs = sum(nm.candidate_pairs(asked, filed, level).count() for level in nm.LEVELS[:2])
+    assert pairs < len(a) * len(b) / 10
+    plan = nm.candidate_pairs(asked, filed, 0.8)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_keyword_join_with_many_rules(spark):
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abcdeé😀f") for _ in range(n))
+    rules = [(i, word(rnd.choice([3, 5, 6, 7, 8, 9])), f"l{i % 50}") for i in range(50_000)] + [(50_000, "", "empty"), (50_001, None, "null"), (50_002, "z", "one"), (-1, "zz", "two")]
+    texts = [(i, " ".join(word(rnd.randint(1, 9)) for _ in range(rnd.randint(0, 20)))) for i in range(150)] + [(900, None), (901, ""), (902, "a z"), (903, "zz"), (904, word(20_000))]
+    first = {}
+    for o, k, v in rules:
+        if k and (k not in first or o < first[k][0]):
+            first[k] = (o, v)
+    hits = {(i, o, k, v) for i, t in texts for k, (o, v) in first.items() if k in (t or "")}
+    rd = spark.createDataFrame(rules, "ordinal int, keyword string, label string")
+    td = spark.createDataFrame(texts, "id int, t string")
+    assert {tuple(r) for r in rule_hits(td, "id", "t", rd).collect()} == hits
+    want = {i: min(((o, v) for j, o, _, v in hits if i == j), default=(0, None))[1] for i, _ in texts}
+    assert {r.id: r.label for r in keyword_join(td, "id", "t", rd).collect()} == want
+    assert all(r.label is None for r in keyword_join(td, "id", "t", rd.limit(0)).collect())
+
+
 def _tfidf(corpus, texts, stop):
     def terms(t):
         tok = [w for w in re.findall(r"\w{2,}", t.lower()) if w not in stop]

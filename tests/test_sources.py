@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scanlake.operators import grouping as g
 from scanlake.operators import history as H
 from scanlake.operators import responses as R
+from scanlake.operators.templates import choose_templates
 from scanlake.plans.report import compose_report
 from scanlake.plans.structured import structured_report, write_report_tables
 from scanlake.sources import catalogs as C
@@ -150,7 +151,10 @@ def test_templates_payload(spark, tmp_path):
             "SERVICE_HARDENING": {"nginx": "n"}}
     t = T.load_templates(spark, write(tmp_path, "t.json", json.dumps(good)))
     T.require_valid(t)
-    assert T.lookups(t["eol_paths"]) == [("centos 7", "eol", "R9")]
+    assert [tuple(r) for r in t["eol_paths"].collect()] == [(0, "centos 7", "eol", "R9")]
+    rows = spark.createDataFrame([(1, "CentOS 7 end"), (2, "Nginx"), (3, "XSS"), (4, None)], "k int, title string")
+    got = choose_templates(rows, "k", "title", t["eol_paths"], t["services"]).collect()
+    assert {r.k: r._s and r._s.key for r in got} == {1: "eol", 2: "n", 3: "xss", 4: None}
     bad = {"RECOMMENDATION_TEMPLATES": {}, "EOL_UPGRADE_PATHS": {"x": {"template": "e"}}}
     v = T.load_templates(spark, write(tmp_path, "b.json", json.dumps(bad)))["violations"]
     assert v.count() == 3
