@@ -10,7 +10,7 @@ from queries.views import view
 from scanlake.operators import grouping as g
 from scanlake.operators import presentation as p
 from scanlake.operators import rollup as r
-from scanlake.session import stable
+from scanlake.session import stable, staged
 from scanlake.tables import fixed
 
 _BUILT: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
@@ -24,7 +24,7 @@ def findings_and_assets(spark, sf) -> tuple[DataFrame, DataFrame]:
     """
     key = (spark.sparkContext.applicationId, sf)
     if key not in _BUILT:
-        rows = stable(g.candidate_rows(view(spark, sf, "scan_rows")))
+        rows = staged(g.candidate_rows(view(spark, sf, "scan_rows")), "candidates")
         assets = g.finding_assets(rows)
         findings = stable(g.with_assets(g.group_findings(rows), g.asset_summary(assets)))
         with_own = g.assign_ids(findings).withColumn("category", F.expr(d.CATEGORY_CASE))

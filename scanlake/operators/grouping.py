@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlake.functions.assets import asset_key, short_label
@@ -14,7 +16,7 @@ from scanlake.functions.text import (
 )
 from scanlake.functions.titles import family_and_title, is_promoted
 from scanlake.operators.ordinal import first_k, number_by_pos
-from scanlake.session import once, stable
+from scanlake.session import once, stable, staged
 
 KEYS = ["report_id", "group_name", "status_family"]
 SCAN_FIELDS = [
@@ -96,51 +98,73 @@ def candidate_rows(scan: DataFrame) -> DataFrame:
     return drop_informational(title_rows(normalise_rows(scan)))
 
 
+HEAD = ["name", "severity", "observation", "remediation_status", "risk_status", "vuln_id"]
+_LAST = 2**63 - 1
+
+
+def _packed(first: Column, *more: tuple[Column, int]) -> Column:
+    """Non-negative numbers as one, most significant first; each further one with its bits."""
+    wide = "decimal(38,0)"
+    out = first.cast(wide)
+    for c, bits in more:
+        out = (out * F.lit(Decimal(2**bits))).cast(wide) + c.cast(wide)
+        out = out.cast(wide)
+    return out
+
+
+def winning_rows(candidates: DataFrame) -> DataFrame:
+    """(finding key, first_row, row_count, rows): which row gives the head and each merged text.
+
+    Only ranks, lengths and row ids are aggregated, no text.  A merged text's order
+    (preferred title, present, length, earliest row) is one number, so that hash
+    aggregation can keep its maximum; the head's order needs two more and is decided
+    among the rows that are left after equal ones have been put together.
+    """
+    pref = (key_text(F.col("raw_name")) == key_text(F.col("name"))).cast("int")
+    size = lambda c: F.length(or_empty(F.col(c)))
+    early = (F.lit(_LAST).cast("decimal(38,0)") - F.col("row_id").cast("decimal(38,0)"), 64)
+    narrow = candidates.select(
+        *KEYS, "row_id",
+        _packed(pref, (severity_rank(F.col("severity")), 4), (F.col("cve").isNotNull().cast("int"), 1),
+                (size("description") + size("remediation"), 32)).cast("long").alias("_rank"),
+        F.coalesce(first_number(F.col("cvss")), F.lit(0.0)).alias("_cvss"),
+        *[_packed(pref, (F.col(c).isNotNull().cast("int"), 1), (size(c), 31), early).alias("_" + c + "_order") for c in MERGED],
+    )
+    orders = ["_" + c + "_order" for c in MERGED]
+    equal = narrow.groupBy(*KEYS, "_rank", "_cvss").agg(
+        F.min("row_id").alias("_row"), F.count("*").alias("_n"), *[F.max(o).alias(o) for o in orders])
+    best = equal.groupBy(*KEYS).agg(
+        F.max(F.struct("_rank", "_cvss", (-F.col("_row")).alias("tie"))).alias("_head"),
+        F.min("_row").alias("first_row"), F.sum("_n").alias("row_count"), *[F.max(o).alias(o) for o in orders])
+    row = lambda o: (F.lit(_LAST).cast("decimal(38,0)") - F.col(o) % F.lit(Decimal(2**64))).cast("long")
+    return best.select(*KEYS, "first_row", "row_count", F.array(-F.col("_head.tie"), *[row(o) for o in orders]).alias("rows"))
+
+
 def group_findings(candidates: DataFrame) -> DataFrame:
     """One finding per (report, title family, status family).
 
     The representative row has the best (preferred title, severity, has CVE, text
     length, score); ties go to the lowest row_id.  Each merged text is the longest
     one among the rows that carry the preferred title, or among all rows when none
-    does.  All of it is one aggregation with map-side partials, so a title that
-    dominates the estate does not gather its rows in one task.
-    """
-    tie = -F.col("row_id")
-    scored = candidates.withColumn(
-        "_pref", (key_text(F.col("raw_name")) == key_text(F.col("name"))).cast("int")
-    ).withColumn(
-        "_score",
-        F.struct(
-            F.col("_pref"),
-            severity_rank(F.col("severity")).alias("rank"),
-            F.col("cve").isNotNull().cast("int").alias("has_cve"),
-            (F.length(or_empty(F.col("description"))) + F.length(or_empty(F.col("remediation"))))
-            .alias("text_len"),
-            F.coalesce(first_number(F.col("cvss")), F.lit(0.0)).alias("cvss"),
-            tie.alias("tie"),
-        ),
-    )
-    head = F.struct(
-        "name", "severity", "observation", "remediation_status", "risk_status", "vuln_id"
-    )
-
-    def longest(c: str):
-        order = F.struct(
-            F.col("_pref"),
-            F.col(c).isNotNull().cast("int").alias("present"),
-            F.length(or_empty(F.col(c))).alias("len"),
-            tie.alias("tie"),
-        )
-        return F.max_by(F.col(c), order).alias(c)
+    does.
 
+    The winners are found by numbers alone, with map-side partials, so a title that
+    dominates the estate does not gather its rows in one task; the texts of the
+    winning rows, at most seven a finding, are fetched by row id afterwards.  `row_id`
+    is unique, and `candidates` is read twice: hand in a staged table.
+    """
+    best = winning_rows(candidates)
+    wanted = best.select(F.posexplode("rows").alias("_role", "row_id")).groupBy("row_id").agg(
+        F.collect_set("_role").alias("_roles"))
+    texts = candidates.join(wanted, "row_id").select(
+        *KEYS, F.struct("_roles", F.struct(*HEAD).alias("head"), *MERGED).alias("_t"))
+    listed = texts.groupBy(*KEYS).agg(F.collect_list("_t").alias("_texts"))
+    of = lambda i: F.get(F.filter("_texts", lambda t: F.array_contains(t["_roles"], i)), F.lit(0))
     return (
-        scored.groupBy(*KEYS)
-        .agg(
-            F.max_by(head, F.col("_score")).alias("_head"),
-            *[longest(c) for c in MERGED],
-            F.min("row_id").alias("first_row"),
-            F.count("*").alias("row_count"),
-        )
+        best.drop("rows").join(listed, KEYS)
+        .select(
+            *KEYS, of(0)["head"].alias("_head"), *[of(i)[c].alias(c) for i, c in enumerate(MERGED, 1)],
+            "first_row", "row_count")
         .select(*KEYS, "_head.*", *MERGED, "first_row", "row_count")
         .withColumn("severity", severity_override(F.col("name"), F.col("severity")))
     )
@@ -190,10 +214,11 @@ def assign_ids(findings: DataFrame, pos: str = "first_row", prefix: str = "VAPT-
 def findings_from_scan(scan: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(findings with ids and asset summary, asset table).
 
-    The findings are checkpointed before they are numbered: numbering reads them
-    twice, and the scan should not be grouped twice for it.
+    The cleaned and titled rows are staged: ranks, asset keys and the texts of the winning
+    rows are read from them, each with its own few columns.  The findings are checkpointed
+    before they are numbered: numbering reads them twice.
     """
-    rows = candidate_rows(scan)
+    rows = staged(candidate_rows(scan), "candidates")
     assets = finding_assets(rows)
     findings = stable(with_assets(group_findings(rows), asset_summary(assets)))
     return assign_ids(findings), assets

@@ -1,8 +1,9 @@
-"""Session helpers: settings, reliable checkpoints, expressions evaluated once."""
+"""Session helpers: settings, reliable checkpoints, staged tables, expressions evaluated once."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,29 @@ def stable(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint so that later passes read the same rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_STAGED: dict[str, list[str]] = {}
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as Parquet to the shared folder and read it back.
+
+    Like a checkpoint it cuts the lineage and survives lost executors; unlike one it is
+    columnar, so that each later step reads only the columns and rows it needs.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Remove this session's staged tables, once nothing reads them any more; returns their number."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(p)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)

@@ -52,6 +52,37 @@ def test_grouping_does_not_depend_on_row_order(spark):
     assert sorted(map(str, a)) == sorted(map(str, b))
 
 
+def test_grouping_aggregates_no_texts(spark):
+    """Winners come from hash aggregation over ranks and row ids; texts are fetched by row id."""
+    rows = g.candidate_rows(view(spark, SF, "scan_rows"))
+    plan = g.winning_rows(rows)._jdf.queryExecution().executedPlan().toString()
+    aggregates = [x for x in plan.split("\n") if "Aggregate(" in x]
+    assert sum("HashAggregate" in x for x in aggregates) == 2
+    texts = ("description#", "remediation#", "proof_of_concept#", "reference#")
+    assert not any("functions=" in x and any(f"max({t}" in x or f"max_by({t}" in x for t in texts) for x in aggregates)
+    exchanges = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert len(exchanges) == 2
+
+
+def test_grouping_winners_equal_a_sort(spark):
+    """Ties in every part of the order, negative and huge row ids, null texts."""
+    rnd = random.Random(2)
+    ids = rnd.sample(range(-500, 500), 200) + [2**62, -2**62]
+    rows = [("r", i, rnd.choice(["t", "T x"]), "t", rnd.choice(["k1", "k2"]), "open", rnd.choice(["High", "Low"]), rnd.choice([None, "c"]),
+             rnd.choice([None, "7.5", "9.25", "x"]), rnd.choice([None, "", "aa", "bb", "ccc"]), rnd.choice([None, "p", "qq"])) for i in ids]
+    cols = "report_id string, row_id long, raw_name string, name string, group_name string, status_family string, severity string, cve string, cvss string, description string, remediation string"
+    d = spark.createDataFrame(rows, cols).selectExpr("*", *[f"cast(row_id as string) as {c}" for c in ("observation", "remediation_status", "risk_status", "vuln_id")], "description as proof_of_concept", "remediation as reference")
+    got = {r.group_name: r for r in g.group_findings(d).collect()}
+    for key in ("k1", "k2"):
+        mine = [x for x in rows if x[4] == key]
+        pref = lambda x: x[2].lower() == "t"
+        num = lambda x: float(x[8]) if x[8] and x[8] != "x" else 0.0
+        head = max(mine, key=lambda x: (pref(x), {"High": 3, "Low": 1}[x[6]], x[7] is not None, len(x[9] or "") + len(x[10] or ""), num(x), -x[1]))
+        assert (got[key].vuln_id, got[key].row_count, got[key].first_row) == (str(head[1]), len(mine), min(x[1] for x in mine))
+        for c, i in (("description", 9), ("remediation", 10), ("cve", 7), ("cvss", 8)):
+            assert got[key][c] == max(mine, key=lambda x: (pref(x), x[i] is not None, len(x[i] or ""), -x[1]))[i]
+
+
 def test_upsert_last_write_wins(spark):
     t = spark.createDataFrame([("a", 1, "x"), ("b", 5, "y")], "id string, v int, t string")
     u = spark.createDataFrame([("a", 1, "new"), ("a", 0, "old"), ("c", 1, "z")], "id string, v int, t string")
@@ -195,6 +226,46 @@ def test_similar_matches_brute_force_with_boosts(spark):
             abs(a[0] - b[0]) < 2e-6 for a, b in zip(got[q], want[q]))
 
 
+def test_similar_pairs_few_rows(spark):
+    """Rows meet on rare terms only: pairs met stay below a tenth of those that share a term."""
+    rnd = random.Random(8)
+    rare = lambda: f"r{rnd.randrange(4000)}"
+    corpus = [" ".join([rare() if rnd.random() < 0.5 else f"common{rnd.randrange(8)}" for _ in range(rnd.randint(8, 30))]) for _ in range(400)]
+    queries = [" ".join(rnd.choice(corpus).split()[:12] + [rare(), "common1"]) for _ in range(300)]
+    cd = spark.createDataFrame(list(enumerate(corpus)), "c int, text string")
+    qd = spark.createDataFrame(list(enumerate(queries)), "q int, text string")
+    counts = m.term_counts(cd, "c", "text")
+    idf = m.fit_idf(cd, counts, "c", None)
+    postings, asked = m.weights(counts, idf, "c"), m.weights(m.term_counts(qd, "q", "text"), idf, "q")
+    left, right = m.ranked_terms(asked, postings, "q", 0.3), m.ranked_terms(postings, asked, "c", 0.3)
+    met = m.prefix_pairs(left, right, "q", "c")
+    every = asked.select("q", "term").join(postings.select("c", "term"), "term").select("q", "c").distinct()
+    assert met.count() * 10 < every.count()
+    cv, qv = _tfidf(corpus, queries, set())
+    want = {}
+    for q in range(300):
+        s = sorted((-round(sum(x * cv[c].get(t, 0) for t, x in qv[q].items()), 6), c) for c in range(400))[:2]
+        want[q] = [x for x in s if -x[0] >= 0.3]
+    got = {q: [] for q in range(300)}
+    for r in m.similar(qd, cd, "q", "c", k=2, minimum=0.3).orderBy("q", "place").collect():
+        got[r.q].append((-r.score, r.c))
+    assert sum(map(len, want.values())) > 250
+    for q in want:
+        assert len(want[q]) == len(got[q]) and all(abs(a[0] - b[0]) < 2e-6 and (a[1] == b[1] or abs(a[0] - b[0]) < 2e-6) for a, b in zip(want[q], got[q]))
+
+
+def test_staged_tables_are_pruned_and_removed(spark):
+    from pathlib import Path
+
+    from scanlake.session import clear_staged, staged
+
+    d = staged(spark.range(10).selectExpr("id", "id * 2 AS x", "'t' AS t"), "some")
+    plan = d.filter("id > 3").select("x")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint,x:bigint>" in plan and "PushedFilters: [IsNotNull(id), GreaterThan(id,3)]" in plan
+    path = Path(d.inputFiles()[0].removeprefix("file://").removeprefix("file:")).parent
+    assert path.exists() and clear_staged(spark) >= 1 and not path.exists() and clear_staged(spark) == 0
+
+
 def test_shared_id_boosts(spark):
     q = spark.createDataFrame([(1, ["CVE-1", "CVE-2"], ["CWE-1"])], "q int, cves array<string>, cwes array<string>")
     c = spark.createDataFrame([(7, ["CVE-1", "CVE-2"], []), (8, [], ["CWE-1"])], "c int, cves array<string>, cwes array<string>")
