@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 
 from scanlake.llm.common import in_slices, stage, whole_text
 
-SLICE = 1 << 20
+SLICE = 384 << 10
 PIECE = 64 << 10
-BATCH = 256 << 10
+BATCH = 128 << 10
 #: An id pair is one number: A's id times 2^B_BITS, plus B's id.
 B_BITS = 15
 _CUT = re.compile(r"(?<=\S) (?=\S)")
