@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queries import duck as d
-from queries.views import view
+from queries.views import lit, view
 from scanlake.operators import grouping as g
 from scanlake.operators import presentation as p
 from scanlake.operators import rollup as r
@@ -38,7 +38,7 @@ def findings(spark, sf) -> DataFrame:
 
 
 def report_subnets(assets: DataFrame) -> DataFrame:
-    return p.asset_subnets(assets).select("report_id", "subnet").distinct()
+    return p.asset_subnets(assets).select("report_id", "subnet")
 
 
 def severity_counts(spark, sf):
@@ -50,6 +50,16 @@ def report_metadata(spark, sf):
     return r.report_metadata(f, report_subnets(a))
 
 
+def report_networks(spark, sf):
+    return r.report_networks(report_subnets(findings_and_assets(spark, sf)[1]))
+
+
+def short_metadata(spark, sf):
+    """The scope sentence with three networks named and the others counted."""
+    f, a = findings_and_assets(spark, sf)
+    return r.report_metadata(f, report_subnets(a), named=3).select("report_id", "subnet_count", "scope_summary")
+
+
 def scope_subnets(spark, sf):
     return r.scope_subnets(findings(spark, sf))
 
@@ -195,6 +205,8 @@ def report_overrides(spark, sf):
 QUERIES = {
     "severity_counts": severity_counts,
     "report_metadata": report_metadata,
+    "report_networks": report_networks,
+    "short_metadata": short_metadata,
     "scope_subnets": scope_subnets,
     "subnet_rollup": subnet_rollup,
     "outline_groups": outline_groups,
@@ -272,6 +284,10 @@ ORACLE = {
         f"""SELECT *, concat('A vulnerability assessment and penetration test was conducted on the internal network infrastructure. The assessment identified a total of ', total_findings, ' unique vulnerabilities: ', total_critical, ' Critical, ', total_high, ' High, ', total_medium, ' Medium, and ', total_low, ' Low. Several critical and high-severity findings require immediate remediation to mitigate risk of unauthorized access and data compromise.') AS executive_summary
         FROM (SELECT report_id, {d.COUNTS}, {d.TOTAL} FROM findings GROUP BY report_id) JOIN (SELECT report_id, subnet_count,
          concat('As a part of the internal VAPT engagement, the assessment covered the network subnets ', nets, '. The testing approach included automated vulnerability scanning and manual verification of findings. The objective was to identify exploitable vulnerabilities in the internal infrastructure and provide actionable remediation guidance.') AS scope_summary FROM nets) USING (report_id)"""),
+    "report_networks": d.q(d.PRESENT, "SELECT DISTINCT report_id, subnet FROM fsubnets WHERE subnet IS NOT NULL"),
+    "short_metadata": d.q(d.PRESENT, f"""SELECT report_id, subnet_count, concat({lit(fixed.SCOPE_SUMMARY.split('%s')[0])}, array_to_string(nets[1:3], ', '),
+      CASE WHEN subnet_count > 3 THEN concat(', … and ', subnet_count - 3, ' more') ELSE '' END, {lit(fixed.SCOPE_SUMMARY.split('%s')[1])}) AS scope_summary
+      FROM (SELECT report_id, count(DISTINCT subnet) AS subnet_count, list_sort(list(DISTINCT subnet)) AS nets FROM fsubnets GROUP BY report_id)"""),
     "scope_subnets": d.q(
         d.PRESENT + r", seen AS (SELECT report_id, first_row, generate_subscripts(c, 1) AS i, unnest(c) AS subnet FROM (SELECT report_id, first_row, regexp_extract_all(category, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?:/[0-9]{1,2})?\b') AS c FROM findings))",
         "SELECT report_id, subnet, row_number() OVER (PARTITION BY report_id ORDER BY min(row(first_row, i)), subnet) AS place FROM seen GROUP BY report_id, subnet"),

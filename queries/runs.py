@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from queries import duck as d
@@ -9,6 +11,8 @@ from queries.views import view
 from scanlake.operators import history as H
 from scanlake.operators import responses as R
 from scanlake.operators import rollup as r
+from scanlake.session import ensure_checkpoint_dir
+from scanlake.sources import stored as ST
 
 
 def events(spark, sf):
@@ -75,9 +79,38 @@ def history_list(spark, sf):
     return H.list_history(history_upsert(spark, sf)).select("id", "date", "finding_count")
 
 
+_HISTORY = ["id", "date", "input_name", "source_file", "finding_count", "version"]
+
+
+def _stored(spark, sf):
+    """The history as a table on disk: every second version stored, the others upserted in place."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TABLES:
+        ensure_checkpoint_dir(spark)
+        path = f"{spark.sparkContext.getCheckpointDir()}/history-{uuid.uuid4().hex}"
+        h = H.coerce_history(_history(spark, sf)).select(*_HISTORY, F.array_join("findings", ",").alias("findings")).withColumn("id", F.upper("id"))
+        last = lambda part: H.upsert(part.limit(0), part, ["id"], "version")
+        ST.create_table(last(h.filter(F.col("version") % 2 == 0)), path, ["id"], 16)
+        ST.upsert_table(h.filter(F.col("version") % 2 == 1), path, "version")
+        _TABLES[key] = path
+    return _TABLES[key]
+
+
+_TABLES: dict[tuple[str, str], str] = {}
+
+
+def stored_history(spark, sf):
+    return ST.read_table(spark, _stored(spark, sf)).select(*_HISTORY, "findings")
+
+
 def point_lookup(spark, sf):
-    h = history_upsert(spark, sf).withColumn("id", F.upper("id"))
-    return H.get_by_key(h, " 42 ", prefix="HIST-")
+    return ST.lookup_key(spark, _stored(spark, sf), H.norm_id(" 42 ", "HIST-")).select(*_HISTORY, "findings")
+
+
+def many_lookups(spark, sf):
+    """The history rows whose number some user has."""
+    wanted = view(spark, sf, "run_events").select(F.concat(F.lit("HIST-"), "run_id").alias("id"))
+    return ST.lookup_keys(wanted, _stored(spark, sf)).select(*_HISTORY, "findings")
 
 
 def parse_responses(spark, sf):
@@ -101,6 +134,7 @@ QUERIES = {
     "event_counts": event_counts, "batches": batches, "batch_sizes": batch_sizes,
     "budget_cut": budget_cut, "candidates": candidates, "history_upsert": history_upsert,
     "history_list": history_list, "point_lookup": point_lookup,
+    "stored_history": stored_history, "many_lookups": many_lookups,
     "parse_responses": parse_responses, "explode_findings": explode_findings,
     "quarantine": quarantine,
 }
@@ -122,6 +156,8 @@ ORACLE = {
       (SELECT *, CASE event_id % 4 WHEN 0 THEN CASE WHEN event_id % 8 = 0 THEN concat('VAPT-', run_id) ELSE 'x' END WHEN 1 THEN concat('v-', event_id, '-9') ELSE 'none' END AS raw FROM run_events)"""),
     "history_upsert": d.q(_HIST, "SELECT id, date, input_name, source_file, finding_count, version, findings FROM hu"),
     "history_list": d.q(_HIST, "SELECT id, date, finding_count FROM hu"),
+    "stored_history": d.q(_HIST, "SELECT upper(id) AS id, date, input_name, source_file, finding_count, version, findings FROM hu"),
+    "many_lookups": d.q(_HIST, "SELECT upper(id) AS id, date, input_name, source_file, finding_count, version, findings FROM hu WHERE id IN (SELECT concat('hist-', run_id) FROM run_events)"),
     "point_lookup": d.q(_HIST, "SELECT upper(id) AS id, date, input_name, source_file, finding_count, version, findings FROM hu WHERE id = 'hist-42'"),
     "parse_responses": d.q(_CASES, """SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN 'repaired' ELSE 'plain' END AS parse_stage, concat(conv_id, '-', turn) AS item_key, concat(role, ' impact') AS business_impact,
        CASE k WHEN 0 THEN 'patch it' WHEN 1 THEN 'patch' ELSE '' END AS primary, CASE k WHEN 1 THEN 'isolate' ELSE '' END AS secondary, CASE k WHEN 0 THEN 'vendor note' WHEN 1 THEN 'a' END AS ref_title, CASE WHEN k = 2 THEN 0 ELSE 1 END AS n_refs FROM ok

@@ -13,6 +13,7 @@ from scanlake.functions.text import (
 from scanlake.operators.ordinal import (
     first_k, number_by_order, number_by_pos, prefix_sums,
 )
+from scanlake.session import staged
 from scanlake.tables import fixed
 
 LEVELS = ["Critical", "High", "Medium", "Low"]
@@ -210,39 +211,46 @@ def scope_subnets(findings: DataFrame) -> DataFrame:
     ).select("report_id", "place", "subnet")
 
 
-def report_metadata(findings: DataFrame, subnets: DataFrame) -> DataFrame:
+#: Networks that the scope sentence names; the others are counted there and listed in `report_networks`.
+NAMED_NETWORKS = 256
+
+
+def report_networks(subnets: DataFrame) -> DataFrame:
+    """(report_id, subnet): the distinct networks of a report as rows."""
+    return subnets.select("report_id", "subnet").distinct()
+
+
+def network_counts(subnets: DataFrame) -> DataFrame:
+    """(report_id, subnet_count): exact distinct counts of 'a.b.c.0/24' networks.
+
+    A network is a number below 2^24, so a report has at most 512 bit maps of 2^15
+    numbers, whatever the number of rows.
+    """
+    part = lambda i: F.split_part("subnet", F.lit("."), F.lit(i)).cast("long")
+    number = F.shiftleft(part(1), 16) + F.shiftleft(part(2), 8) + part(3)
+    n = subnets.filter(F.col("subnet").isNotNull()).select("report_id", number.alias("_n"))
+    maps = n.groupBy("report_id", F.bitmap_bucket_number("_n").alias("_bucket")).agg(
+        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("_n"))).alias("_c"))
+    return maps.groupBy("report_id").agg(F.sum("_c").alias("subnet_count"))
+
+
+def report_metadata(findings: DataFrame, subnets: DataFrame, named: int = NAMED_NETWORKS) -> DataFrame:
     """Counts and summary sentences per report.
 
-    `subnets` is (report_id, subnet) with distinct /24 networks; their sorted list is
-    part of one sentence, and the /24 name space bounds its length.
+    `subnets` is (report_id, subnet) with /24 networks, repeated ones count once.  The scope
+    sentence names the first `named` of them in sorted order and counts the others.
     """
-    nets = subnets.groupBy("report_id").agg(
-        F.count("*").alias("subnet_count"),
-        F.array_join(F.array_sort(F.collect_list("subnet")), ", ").alias("_nets"),
-    )
+    first = first_k(report_networks(subnets), ["report_id"], [F.col("subnet")], named)
+    nets = network_counts(subnets).join(
+        first.groupBy("report_id").agg(F.array_join(F.array_sort(F.collect_list("subnet")), ", ").alias("_shown")), "report_id")
+    nets = nets.withColumn("_nets", F.when(F.col("subnet_count") <= named, F.col("_shown")).otherwise(
+        F.format_string(fixed.MORE_NETWORKS, "_shown", F.col("subnet_count") - named))).drop("_shown")
     counts = severity_counts(findings, ["report_id"])
     joined = counts.join(nets, "report_id", "left")
-    n = lambda c: F.col(c).cast("string")
-    summary = F.concat(
-        F.lit("A vulnerability assessment and penetration test was conducted on the internal "
-              "network infrastructure. The assessment identified a total of "),
-        n("total_findings"), F.lit(" unique vulnerabilities: "), n("total_critical"),
-        F.lit(" Critical, "), n("total_high"), F.lit(" High, "), n("total_medium"),
-        F.lit(" Medium, and "), n("total_low"),
-        F.lit(" Low. Several critical and high-severity findings require immediate remediation "
-              "to mitigate risk of unauthorized access and data compromise."),
-    )
-    scope = F.concat(
-        F.lit("As a part of the internal VAPT engagement, the assessment covered the network "
-              "subnets "),
-        F.coalesce(F.col("_nets"), F.lit("the target network")),
-        F.lit(". The testing approach included automated vulnerability scanning and manual "
-              "verification of findings. The objective was to identify exploitable "
-              "vulnerabilities in the internal infrastructure and provide actionable "
-              "remediation guidance."),
-    )
+    totals = [f"total_{x}" for x in ("findings", "critical", "high", "medium", "low")]
     return joined.withColumns({
-        "executive_summary": summary, "scope_summary": scope,
+        "executive_summary": F.format_string(fixed.EXECUTIVE_SUMMARY, *totals),
+        "scope_summary": F.format_string(fixed.SCOPE_SUMMARY, F.coalesce("_nets", F.lit(fixed.NO_NETWORK))),
         "subnet_count": F.coalesce(F.col("subnet_count"), F.lit(0)),
     }).drop("_nets")
 
@@ -316,37 +324,79 @@ def fallback_order(findings: DataFrame) -> DataFrame:
     return ordered.join(groups, ["report_id", "group_a", "group_b"])
 
 
-def assign_to_groups(findings: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
-    """Place findings into outline groups; `group_pos` is NULL for leftovers.
-
-    `groups` is (report_id, group_pos, taxonomy_family, subnet_key) and `members`
-    (report_id, group_pos, id).  A listed id wins; a group none of whose ids exists
-    takes the findings that match its attributes, a blank attribute matching any.
-    Where several groups apply, the first one takes the finding.
-    """
-    have = findings.select("report_id", "id").distinct()
-    hits = members.join(have, ["report_id", "id"])
-    by_id = hits.groupBy("report_id", "id").agg(F.min("group_pos").alias("_by_id"))
-    empty = groups.join(
-        hits.select("report_id", "group_pos").distinct(), ["report_id", "group_pos"], "left_anti"
-    )
-    out = findings.join(by_id, ["report_id", "id"], "left")
-    candidates = [F.col("_by_id")]
+def _by_attributes(findings: DataFrame, groups: DataFrame) -> DataFrame:
+    """Add `_attr`: the first of the groups whose attributes a finding matches, a blank one matching any."""
     patterns = {
         "_by_both": ["taxonomy_family", "subnet_key"], "_by_family": ["taxonomy_family"],
         "_by_subnet": ["subnet_key"], "_by_any": [],
     }
+    out = findings
     for name, cols in patterns.items():
-        blank = [c for c in ("taxonomy_family", "subnet_key") if c not in cols]
-        side = empty
-        for c in cols:
-            side = side.filter(or_empty(F.col(c)) != "")
-        for c in blank:
-            side = side.filter(or_empty(F.col(c)) == "")
+        side = groups
+        for c in ("taxonomy_family", "subnet_key"):
+            side = side.filter((F.col(c) != "") if c in cols else (F.col(c) == ""))
         keyed = side.groupBy("report_id", *cols).agg(F.min("group_pos").alias(name))
         out = out.join(keyed, ["report_id", *cols], "left")
-        candidates.append(F.col(name))
-    return out.withColumn("group_pos", F.least(*candidates)).drop("_by_id", *patterns)
+    return out.withColumn("_attr", F.least(*patterns)).drop(*patterns)
+
+
+def _taken_by_id(free: Column, listed: Column) -> Column:
+    """Which group takes each finding of one id by listing it: an array beside `free`.
+
+    `free` holds for each finding, in order, the group that takes it by its attributes (or
+    NULL).  Each listing, in order, takes the first finding that no earlier group has.
+    """
+    none = F.transform(free, lambda x: F.lit(None).cast("long"))
+
+    def take(taken: Column, group: Column) -> Column:
+        open_ = F.filter(
+            F.sequence(F.lit(0), F.size(free) - 1),
+            lambda i: F.get(taken, i).isNull() & (F.coalesce(F.get(free, i), group) >= group))
+        return F.transform(taken, lambda x, i: F.when(i == F.get(open_, F.lit(0)), group).otherwise(x))
+
+    return F.aggregate(listed, none, take)
+
+
+def assign_to_groups(
+    findings: DataFrame, groups: DataFrame, members: DataFrame, order: str = "id"
+) -> DataFrame:
+    """Place findings into outline groups; `group_pos` is NULL for leftovers.
+
+    `groups` is (report_id, group_pos, taxonomy_family, subnet_key) and `members`
+    (report_id, group_pos, id).  Groups come one after the other: a group takes, for each
+    id it lists, the first finding with that id (in `order`, unique among them) that no
+    earlier group has.  Only when it gets none that way, be it that its ids do not exist
+    or that earlier groups have them all, it takes every finding left that matches its
+    attributes; a blank attribute matches any.
+
+    Which groups fall back depends on earlier groups alone.  So all groups are judged at
+    once by the fall-backs of the last round, until those stay the same: a round settles
+    at least one more position, in practice nearly all.
+    """
+    trimmed = lambda c: strip(or_empty(F.col(c)))
+    texts = ("taxonomy_family", "subnet_key")
+    f = staged(findings.select("report_id", trimmed("id").alias("id"), F.col(order).alias("_order"), *[trimmed(c).alias(c) for c in texts]), "group_findings")
+    g = staged(groups.select("report_id", F.col("group_pos").cast("long").alias("group_pos"), *[trimmed(c).alias(c) for c in texts]), "groups")
+    lists = members.select("report_id", F.col("group_pos").cast("long").alias("group_pos"), trimmed("id").alias("id")).filter("id <> ''")
+    lists = lists.join(g.select("report_id", "group_pos"), ["report_id", "group_pos"], "left_semi")
+    lists = staged(lists.groupBy("report_id", "id").agg(F.array_sort(F.collect_list("group_pos")).alias("listed")), "listed_ids")
+    falling, last = g.limit(0), None
+    while True:
+        free = _by_attributes(f, falling)
+        named = free.groupBy("report_id", "id").agg(F.array_sort(F.collect_list(F.struct("_order", "_attr"))).alias("_f")).join(lists, ["report_id", "id"])
+        taken = named.select("report_id", "id", F.inline(F.arrays_zip(
+            F.col("_f._order").alias("_order"), _taken_by_id(F.col("_f._attr"), F.col("listed")).alias("_by_id"))))
+        taken = staged(taken.filter("_by_id IS NOT NULL"), "taken")
+        falling = staged(g.join(taken.select("report_id", F.col("_by_id").alias("group_pos")).distinct(), ["report_id", "group_pos"], "left_anti"), "falling")
+        now = falling.agg(F.count("*"), F.sum(F.xxhash64("report_id", "group_pos").cast("decimal(38,0)"))).first()
+        if now == last:
+            break
+        last = now
+    placed = _by_attributes(f, falling).join(taken, ["report_id", "id", "_order"], "left").select(
+        "report_id", "id", "_order", F.coalesce("_by_id", "_attr").alias("group_pos"))
+    placed = placed.withColumnsRenamed({"report_id": "_r", "id": "_i"})
+    same = (F.col("report_id") == F.col("_r")) & (trimmed("id") == F.col("_i")) & F.col(order).eqNullSafe(F.col("_order"))
+    return findings.join(placed, same, "left").drop("_r", "_i", "_order")
 
 
 # --- tables about tables ---------------------------------------------------------------

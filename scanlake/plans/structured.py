@@ -133,8 +133,8 @@ def structured_report(
         **details,
         "assets": all_assets,
         "false_positives": flagged.filter("is_fp").drop("is_fp"),
-        "metadata": r.report_metadata(
-            scored, p.asset_subnets(all_assets, ID_KEYS).select("report_id", "subnet").distinct()),
+        "metadata": r.report_metadata(scored, p.asset_subnets(all_assets, ID_KEYS)),
+        "networks": r.report_networks(p.asset_subnets(all_assets, ID_KEYS)),
         "quality": q.quality_summary(scored, min_pass, ["report_id"]),
     }
 

@@ -282,6 +282,49 @@ def test_group_assignment_first_group_wins(spark):
     assert got == {"1": 1, "2": 2, "3": 2, "4": None}
 
 
+def _assign(findings, groups, members):
+    """Group after group, as a reader would do it by hand."""
+    left, out = list(findings), {}
+    for pos, fam, net in sorted(groups):
+        mine = []
+        for i in [i for p, i in members if p == pos]:
+            hit = next((f for f in left if f[1] == i), None)
+            if hit:
+                mine.append(hit)
+                left.remove(hit)
+        if not mine:
+            mine = [f for f in left if (not fam or f[2] == fam) and (not net or f[3] == net)]
+            left = [f for f in left if f not in mine]
+        out.update({f[0]: pos for f in mine})
+    return out
+
+
+def test_group_assignment_equals_one_group_after_the_other(spark):
+    """Ids that earlier groups took, ids that do not exist, repeated ids, chains of fall-backs."""
+    rnd = random.Random(11)
+    fs, gs, ms, want = [], [], [], {}
+    for rep in range(40):
+        f = [(n, f"v{rnd.randrange(6)}", rnd.choice("ab"), rnd.choice("xy")) for n in range(rnd.randint(1, 12))]
+        g = [(p, rnd.choice(["", "a", "b"]), rnd.choice(["", "x", "y"])) for p in range(1, rnd.randint(2, 7))]
+        m_ = [(p, f"v{rnd.randrange(8)}") for p, _, _ in g for _ in range(rnd.randint(0, 3))]
+        want.update({(str(rep), n): p for n, p in _assign(f, g, m_).items()} | {(str(rep), n): None for n, *_ in f if n not in _assign(f, g, m_)})
+        fs += [(str(rep), *x) for x in f]
+        gs += [(str(rep), *x) for x in g]
+        ms += [(str(rep), *x) for x in m_]
+    fd = spark.createDataFrame(fs, "report_id string, n int, id string, taxonomy_family string, subnet_key string")
+    gd = spark.createDataFrame(gs, "report_id string, group_pos int, taxonomy_family string, subnet_key string")
+    md = spark.createDataFrame(ms, "report_id string, group_pos int, id string")
+    got = {(x.report_id, x.n): x.group_pos for x in r.assign_to_groups(fd, gd, md, order="n").collect()}
+    assert got == want and any(v is None for v in want.values())
+
+
+def test_network_counts_are_exact(spark):
+    rnd = random.Random(1)
+    nets = [(str(i % 3), f"{rnd.randrange(256)}.{rnd.randrange(256)}.{rnd.randrange(4)}.0/24") for i in range(4000)] * 2 + [("9", None)]
+    got = {x.report_id: x.subnet_count for x in r.network_counts(spark.createDataFrame(nets, "report_id string, subnet string")).collect()}
+    assert got == {k: len({n for q, n in nets if q == k}) for k in "012"}
+
+
 def test_descriptions_count_whole(spark):
     from scanlake.operators.dedupe import dedupe_by_fingerprint
     from scanlake.operators.falsepos import is_false_positive

@@ -1,6 +1,7 @@
 """Readers and writers on small literal files."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from scanlake.plans.report import compose_report
 from scanlake.plans.structured import structured_report, write_report_tables
 from scanlake.sources import catalogs as C
 from scanlake.sources import scans as S
+from scanlake.sources import stored as ST
 from scanlake.sources import templates as T
 
 CWE = """<Weakness_Catalog xmlns="http://cwe.mitre.org/cwe-7"><Weaknesses>
@@ -224,3 +226,32 @@ def test_report_is_idempotent_and_written(spark, tmp_path):
     write_report_tables(rep, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out" / "summary")).count() == f.count()
     assert spark.read.parquet(str(tmp_path / "out" / "cards")).count() == f.count()
+
+
+def test_stored_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(500).selectExpr("concat('K', id) AS id", "1 AS v", "id AS x")
+    ST.create_table(rows, path, ["id"], 8)
+    assert ST.layout(spark, path) == (["id"], 8)
+    found = ST.lookup_key(spark, path, "K42")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("FileScan"):]
+    assert [tuple(r) for r in found.collect()] == [("K42", 1, 42)]
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id,K42)]" in scan and "PartitionFilters: [isnotnull(_bucket" in scan
+    assert len({f for f in found.inputFiles()}) == 1 or "_bucket" in scan
+    before = {p: p.stat().st_mtime_ns for p in Path(path).glob("_bucket=*/*.parquet")}
+    new = spark.createDataFrame([("K1", 2, -1), ("K2", 0, -2), ("N1", 1, 7), ("N1", 3, 8)], "id string, v int, x long")
+    touched = ST.upsert_table(new, path, "v")
+    assert 0 < len(touched) <= 3
+    after = {p: p.stat().st_mtime_ns for p in Path(path).glob("_bucket=*/*.parquet")}
+    kept = {p for p in before if p.parent.name not in {f"_bucket={b}" for b in touched}}
+    assert kept and all(after[p] == before[p] for p in kept) and not any(p in after for p in before if p not in kept)
+    got = {r.id: (r.v, r.x) for r in ST.read_table(spark, path).collect()}
+    assert len(got) == 501 and (got["K1"], got["K2"], got["N1"]) == ((2, -1), (1, 2), (3, 8))
+    assert ST.upsert_table(new.limit(0), path, "v") == []
+    many = ST.lookup_keys(spark.createDataFrame([("K7",), ("K7",), ("no",)], "id string"), path)
+    assert [r.id for r in many.collect()] == ["K7"]
+    wide = ST.upsert_table(spark.createDataFrame([("K3", 9, 1, "w")], "id string, v int, x long, extra string"), path, "v")
+    assert len(wide) == 1 and ST.lookup_key(spark, path, "K3").first().v == 9
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        ST.create_table(rows, path, ["id"], 8)
