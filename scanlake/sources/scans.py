@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlake.functions.text import split_lines
+from scanlake.sources.records import read_delimited
 from scanlake.tables import fixed
 
 
@@ -16,45 +18,30 @@ from scanlake.tables import fixed
 ROW_BITS, FILE_BITS, SCAN_BITS = 33, 20, 10
 
 
-def scan_files(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[str, str]]:
-    """(path, file_path of the metadata) in the order of the paths, those of one path by name."""
-    files: dict[str, str] = {}
+def scan_files(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
+    """The files behind the paths in the order of the paths, those of one path by name; lists them, reads nothing."""
+    files: dict[str, None] = {}
     for given in [paths] if isinstance(paths, str) else paths:
-        listed = spark.read.format("binaryFile").load(given).select("path", "_metadata.file_path")
-        files.update(sorted(map(tuple, listed.collect())))
-    return list(files.items())
+        files.update(dict.fromkeys(sorted(spark.read.text(given).inputFiles())))
+    # the metadata column writes local paths with one slash
+    return [re.sub("^file:/+", "file:/", f) for f in files]
 
 
 def read_scan_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Delimited scan exports, each read by its own header; every column is a string.
 
-    Files with equal headers are read together; finding the headers is a look at the first
-    row of each file.  `source_file` and a unique `row_id` that follows the order of the
-    files as given, then that of the rows, are added.
+    A large file is read in many splits, line breaks in quoted cells included, and the
+    headers of all files are found in one job.  `source_file` and a unique `row_id` that
+    follows the order of the files as given, then that of the rows, are added.
     """
     files = scan_files(spark, paths)
     if len(files) > 1 << FILE_BITS:
         raise ValueError(f"a scan may have at most {1 << FILE_BITS} files")
-    options = {"header": True, "multiLine": True, "escape": '"', "inferSchema": False}
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path, _ in files:
-        columns = tuple(spark.read.options(**options).csv(path).columns)
-        if columns:
-            by_header.setdefault(columns, []).append(path)
-    if not by_header:
-        raise ValueError("no scan file has a header")
-    places = spark.createDataFrame(
-        [(uri, i << ROW_BITS) for i, (_, uri) in enumerate(files)], "source_file string, _file long")
-    frames = []
-    for group in by_header.values():
-        # a multi-line file is one task, so the numbers of its rows ascend
-        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-        raw = spark.read.options(**options).csv(group)
-        rows = raw.select("*", F.col("_metadata.file_path").alias("source_file"), row.alias("_row"))
-        frames.append(
-            rows.join(places, "source_file")
-            .select(*raw.columns, "source_file", (F.col("_file") + F.col("_row")).alias("row_id")))
-    return _stacked(frames)
+    places = spark.createDataFrame([(uri, i << ROW_BITS) for i, uri in enumerate(files)], "source_file string, _file long")
+    rows = read_delimited(spark, [paths] if isinstance(paths, str) else list(paths))
+    columns = [f"`{c}`" for c in rows.columns[:-2]]
+    return rows.join(places, "source_file").select(
+        *columns, "source_file", (F.col("_file") + F.col("record_no") - 1).alias("row_id"))
 
 
 def _stacked(frames: Sequence[DataFrame]) -> DataFrame:

@@ -13,6 +13,7 @@ from scanlake.operators.templates import choose_templates
 from scanlake.plans.report import compose_report
 from scanlake.plans.structured import structured_report, write_report_tables
 from scanlake.sources import catalogs as C
+from scanlake.sources import records
 from scanlake.sources import scans as S
 from scanlake.sources import stored as ST
 from scanlake.sources import templates as T
@@ -255,3 +256,37 @@ def test_stored_table(spark, tmp_path):
     assert len(wide) == 1 and ST.lookup_key(spark, path, "K3").first().v == 9
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
         ST.create_table(rows, path, ["id"], 8)
+
+
+def test_csv_in_splits_equals_one_task(spark, tmp_path):
+    """Quoted line breaks at any split border, doubled quotes, empty cells and lines, CRLF, quotes inside bare cells."""
+    import random
+
+    rnd = random.Random(4)
+    cell = lambda: rnd.choice(["a", "", "x y", '"q,r"', '"two\nlines"', '"say ""hi"""', '"\n\n"', '""', '"""\n"', 'in"ner', '"a\r\nb,c"', '"end "" \n,""x"""'])
+    for eol in ("\n", "\r\n"):
+        body = ["id,Name,c,d"] + [",".join([f"{i}", "n", *[cell() for _ in range(rnd.choice([1, 2, 2, 3]))]]) + ("" if rnd.random() < 0.9 else eol) for i in range(400)]
+        p = tmp_path / f"big{len(eol)}.csv"
+        p.write_bytes(eol.join(body).encode())
+        want = spark.read.options(header=True, multiLine=True, escape='"').csv(str(p)).collect()
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+            rows = S.read_scan_csv(spark, str(p))
+            assert records.read_records(spark, [str(p)]).rdd.getNumPartitions() > 1
+            got = rows.orderBy("row_id").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        fix = lambda v: v and v.replace("\r\n", "\n")
+        assert [tuple(map(fix, r[:4])) for r in got] == [tuple(map(fix, r)) for r in want]
+        assert [r.row_id for r in got] == list(range(len(want)))
+
+
+def test_csv_with_many_headers_takes_one_job_for_them(spark, tmp_path):
+    for i in range(12):
+        write(tmp_path, f"f {i:02}.csv", f"Name,col{i % 3},,Name\nx{i},{i},u,again\n")
+    rows = S.read_scan_csv(spark, str(tmp_path))
+    assert rows.columns == ["Name0", "col0", "_c2", "Name3", "col1", "col2", "source_file", "row_id"]
+    got = rows.orderBy("row_id").collect()
+    assert [(r.Name0, r.col0 or r.col1 or r.col2, r._c2, r.Name3) for r in got] == [(f"x{i}", str(i), "u", "again") for i in range(12)]
+    assert records.header_names("\"a\nb\",A,,a,c") == ["a\nb", "A1", "_c2", "a3", "c"]
