@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from queries import duck as d
 from queries.views import lit, view
+from scanlake.functions import derive as D
 from scanlake.operators import grouping as g
 from scanlake.operators import presentation as p
 from scanlake.operators import rollup as r
@@ -202,6 +203,25 @@ def report_overrides(spark, sf):
     )
 
 
+def lookup_decision(spark, sf):
+    """Whether a look-up is needed, for findings whose fields are full, thin, stock or missing by turns."""
+    n = F.col("first_row")
+    f = findings(spark, sf).select("report_id", "id", "description", "remediation", "first_row").withColumns({
+        "remediation": F.when(n % 2 == 0, F.concat(F.lit("Upgrade the component to the fixed release." + chr(10) + "Restrict access to it. "), F.coalesce("remediation", F.lit("")))).otherwise(F.col("remediation")),
+        "control_objective": F.when(n % 5 > 0, F.lit(LONG_OBJECTIVE)).when(n % 10 == 0, F.lit("Short one.")),
+        "control_name": F.when(n % 7 > 0, F.lit("Software Release Tracking")).when(n % 2 == 0, F.lit(STOCK_NAME)).otherwise(F.lit(" ")),
+        "audit_requirement": F.when(n % 11 > 0, F.lit(LONG_AUDIT)).otherwise(F.lit("[PLACEHOLDER]")),
+        "reference": F.when(n % 13 > 0, F.lit("https://nvd.nist.gov/vuln/detail/CVE-2021-44228")),
+    })
+    return f.select("report_id", "id", D.needs_enrichment(*[F.col(c) for c in _LOOKED_AT]).alias("needs_lookup"))
+
+
+_LOOKED_AT = ["description", "remediation", "control_objective", "control_name", "audit_requirement", "reference"]
+STOCK_NAME = fixed.GENERIC_VALUES["control_name"][0]
+LONG_OBJECTIVE = "Keep every component at a supported release with a tracked owner and a dated plan for its replacement."
+LONG_AUDIT = "Verify that releases are checked monthly against public advisories and that exceptions have an owner."
+
+
 QUERIES = {
     "severity_counts": severity_counts,
     "report_metadata": report_metadata,
@@ -222,6 +242,7 @@ QUERIES = {
     "required_fields": required_fields,
     "fill_required": fill_required,
     "needs_lookup": needs_lookup,
+    "lookup_decision": lookup_decision,
     "missing_fields": missing_fields,
     "validate_report": validate_report,
     "report_overrides": report_overrides,
@@ -332,6 +353,15 @@ ORACLE = {
         for c in p.REPORT_DEFAULTS) + " FROM labelled"),
     # Scan findings carry no control fields yet, so every one of them needs a look-up.
     "needs_lookup": d.q(_FILLED, "SELECT report_id, id, business_impact, description, TRUE AS needs_lookup FROM filled"),
+    "lookup_decision": d.q(d.PRESENT + f""", full_ AS (SELECT report_id, id, description,
+      CASE WHEN first_row % 2 = 0 THEN concat('Upgrade the component to the fixed release.', chr(10), 'Restrict access to it. ', coalesce(remediation, '')) ELSE remediation END AS remediation,
+      CASE WHEN first_row % 5 > 0 THEN {lit(LONG_OBJECTIVE)} WHEN first_row % 10 = 0 THEN 'Short one.' END AS control_objective,
+      CASE WHEN first_row % 7 > 0 THEN 'Software Release Tracking' WHEN first_row % 2 = 0 THEN {lit(STOCK_NAME)} ELSE ' ' END AS control_name,
+      CASE WHEN first_row % 11 > 0 THEN {lit(LONG_AUDIT)} ELSE '[PLACEHOLDER]' END AS audit_requirement,
+      CASE WHEN first_row % 13 > 0 THEN 'https://nvd.nist.gov/vuln/detail/CVE-2021-44228' END AS reference FROM labelled)""",
+      "SELECT report_id, id, " + " OR ".join(
+        f"{d.placeholder(c)} OR {d.sq(d.oe(c))} IN {d.inlist(fixed.GENERIC_VALUES.get(c, ['']))} OR length({d.sq(d.oe(c))}) < {max(1, fixed.LOOKUP_MIN_LEN.get(c, 0))}" for c in _LOOKED_AT)
+      + f" OR len(list_filter(string_split({d.sq(d.oe('remediation'))}, chr(10)), lambda x: {d.sq('x')} <> '')) < 2 OR ({d.anyc('lower(coalesce(remediation, chr(32)))', fixed.GENERIC_REMEDIATION)} AND length({d.sq(d.oe('remediation'))}) < 120) AS needs_lookup FROM full_"),
     "missing_fields": d.q(d.PRESENT, " UNION ALL ".join(
         f"SELECT report_id, '{c}' AS field, count(*) FILTER ({d.placeholder(c)}) AS missing FROM labelled GROUP BY report_id"
         for c in ("description", "remediation", "cve", "reference"))),

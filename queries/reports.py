@@ -87,8 +87,25 @@ kn AS (SELECT report_id, id, any_value(n) AS asset_count, string_agg(asset, ', '
 ks AS (SELECT report_id, group_name, status_family, count(DISTINCT regexp_extract(asset, '^([0-9]+\\.[0-9]+\\.[0-9]+)\\.', 1)) AS nn, min(regexp_extract(asset, '^([0-9]+\\.[0-9]+\\.[0-9]+)\\.', 1)) AS net FROM assets GROUP BY ALL),
 flag AS (SELECT *, (NOT {d.fp_review(d.key(_HAY))} AND ({d.anyc(_HAY, fixed.FP_TOKENS)} OR {_FUZZY.replace('raw_name', 'name')})) OR lower(trim(risk_status)) IN {d.inlist(fixed.ACCEPTED_RISK)}
    OR trim(coalesce(cvss2, '')) IN {d.inlist(fixed.ZERO_CVSS)} OR lower(trim(observation)) = 'informational' OR severity = 'Informational' AS is_fp FROM rk WHERE rn = 1)"""
+_AUDIT_HAY = "lower(concat_ws(' ', coalesce(name, ''), coalesce(description, ''), coalesce(control_name, ''), coalesce(remediation, '')))"
+# the findings that stay, as the quality score reads them
+_FINAL = f"""{_CHAIN},
+fin AS (SELECT f.report_id, f.id, f.severity, f.name, f.description, {d.sq(d.oe('f.remediation'))} AS remediation, f.control_objective, f.control_name, f.cvss2, f.reference,
+  CASE WHEN nn = 1 THEN concat('Internal Network - ', net, '.0/24') ELSE 'Internal Network - Multiple Subnets' END AS category
+  FROM flag f JOIN ks ON ks.report_id = f.report_id AND ks.group_name = f.group_name AND ks.status_family = f.status_family WHERE NOT is_fp),
+sc0 AS (SELECT id AS doc_id, report_id AS source, description, nullif(remediation, '') AS remediation, control_objective, control_name, cvss2 AS cvss, reference,
+  coalesce({d.first_keyword(_AUDIT_HAY, fixed.AUDIT_KEYWORDS)}, CASE WHEN remediation <> '' THEN concat({d.lit(fixed.AUDIT_PREFIX)}, regexp_extract(remediation, '^(.*?[.!?])(?:\\s|$)', 1)) END, '') AS audit_requirement FROM fin){X._SCORED.removeprefix(X._SC).replace('scored AS (', 'rated AS (')},
+qs AS (SELECT source AS report_id, count(*) AS count, round(avg(overall), 3) AS mean, round(1 - count(*) FILTER (overall < 0.55) / count(*)::DOUBLE, 3) AS pass_rate, count(*) FILTER (overall < 0.55) AS failing FROM rated GROUP BY source),
+th AS (SELECT report_id, {d.category_words('category')} AS theme, count(*) AS n, min({d.lookup('severity', fixed.NARRATIVE_RANK, '5')}) AS best FROM fin GROUP BY ALL),
+ph AS (SELECT report_id, string_agg(theme, ' and ' ORDER BY place) AS theme_phrase FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY n DESC, best, theme) AS place FROM th) WHERE place <= 2 GROUP BY report_id),
+tot AS (SELECT report_id, {d.COUNTS}, {d.TOTAL} FROM fin GROUP BY report_id)"""
 
 ORACLE = {
+    "structured_summary": d.q(_FINAL, """SELECT report_id, count, mean, pass_rate, failing, total_critical, total_high, total_medium, total_low, total_findings,
+      CASE WHEN total_critical > 0 THEN concat('The current risk posture remains elevated because ', total_critical, ' critical finding', CASE WHEN total_critical <> 1 THEN 's' ELSE '' END, ' require immediate remediation, concentrated in ', theme_phrase, '.')
+       WHEN total_high > 0 THEN concat('The current risk posture remains elevated because ', total_high, ' high-severity finding', CASE WHEN total_high <> 1 THEN 's' ELSE '' END, ' require prioritised remediation, concentrated in ', theme_phrase, '.')
+       ELSE concat('The current risk posture is driven primarily by medium- and low-severity findings with the strongest concentration in ', theme_phrase, ' that should be addressed through planned remediation.') END AS risk_posture
+      FROM qs JOIN tot USING (report_id) JOIN ph USING (report_id)"""),
     "structured_report": d.q(_CHAIN, """SELECT f.report_id, f.id, name, severity, cvss2 AS cvss, CASE WHEN nn = 1 THEN concat('Internal Network - ', net, '.0/24') ELSE 'Internal Network - Multiple Subnets' END AS category,
       coalesce(control_name, 'Vulnerability Remediation') AS display_control_name, kn.asset_count, CASE WHEN kn.asset_count <= 10 THEN shown ELSE concat(shown, ', … and ', kn.asset_count - 10, ' more') END AS affected_assets_short, TRUE AS needs_lookup
       FROM flag f JOIN kn ON kn.report_id = f.report_id AND kn.id = f.id JOIN ks ON ks.report_id = f.report_id AND ks.group_name = f.group_name AND ks.status_family = f.status_family WHERE NOT is_fp"""),
