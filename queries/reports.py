@@ -12,7 +12,8 @@ from queries.views import view
 from scanlake.operators import rollup as r
 from scanlake.plans.enrichment import Catalogs
 from scanlake.plans.structured import structured_report as build
-from scanlake.plans.textual import text_chunks, text_findings as build_text
+from scanlake.plans.textual import text_chunks
+from scanlake.plans.textual import text_report as build_text
 from scanlake.tables import catalogs as C
 from scanlake.tables import fixed
 

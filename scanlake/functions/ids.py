@@ -121,10 +121,14 @@ def refs_array(c: Column) -> Column:
     )
 
 
-def auto_refs(cve_text: Column, cwe_text: Column) -> Column:
-    """Canonical links for the first three CVEs and first two CWEs of a finding."""
-    cves = F.slice(extract_ids(cve_text, CVE_SHORT), 1, 3)
-    cwes = F.slice(extract_ids(cwe_text, CWE_STRICT), 1, 2)
+def _first(a: Column, limit: int | None) -> Column:
+    return a if limit is None else F.slice(a, 1, limit)
+
+
+def auto_refs(cve_text: Column, cwe_text: Column, cves: int | None = 3, cwes: int | None = 2) -> Column:
+    """Canonical links for the first CVEs and CWEs of a finding; None: for all of them."""
+    cves = _first(extract_ids(cve_text, CVE_SHORT), cves)
+    cwes = _first(extract_ids(cwe_text, CWE_STRICT), cwes)
     return F.concat(
         F.transform(
             cves, lambda x: _ref(F.concat(F.lit("NVD "), x), F.concat(F.lit(fixed.NVD_URL), x))
@@ -156,8 +160,8 @@ def distinct_refs(refs: Column) -> Column:
     return F.transform(firsts, lambda r: _ref(r["title"], r["url"]))
 
 
-def rank_refs(refs: Column, limit: int = 10) -> Column:
-    """Dedupe, then title-only, then non-public, then public by (priority, title)."""
+def rank_refs(refs: Column, limit: int | None = 10) -> Column:
+    """Dedupe, then title-only, then non-public, then public by (priority, title); None: no cut."""
     unique = distinct_refs(refs)
     order = F.transform(
         unique,
@@ -174,7 +178,7 @@ def rank_refs(refs: Column, limit: int = 10) -> Column:
         ),
     )
     return F.transform(
-        F.slice(F.array_sort(order), 1, limit), lambda r: _ref(r["title"], r["url"])
+        _first(F.array_sort(order), limit), lambda r: _ref(r["title"], r["url"])
     )
 
 

@@ -155,7 +155,7 @@ def closest_name(a: DataFrame, b: DataFrame, minimum: float = 0.5) -> DataFrame:
     compared with all names of a fitting length: below that, unrelated names have as
     many grams in common as related ones.
     """
-    left, right = distinct_names(a), distinct_names(b)
+    left, right = stable(distinct_names(a)), stable(distinct_names(b))
     grams = stable(name_grams(right))
     counts = grams.groupBy("gram").agg(F.count("*").alias("names"))
     filed = stable(rare_first(grams, counts))

@@ -147,15 +147,32 @@ def normalise_result(parsed: DataFrame) -> DataFrame:
     }).drop("doc")
 
 
-def request_payloads(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """The redacted, trimmed record handed to an external look-up, as JSON.
+def explode_results(parsed: DataFrame) -> DataFrame:
+    """One row per result: the entries of a reply's `results` list, or the reply itself.
+
+    Adds `result_no`, the place of a result in its reply.
+    """
+    listed = F.try_variant_get(F.col("doc"), "$.results", "array<variant>")
+    single = F.when(listed.isNull(), F.array("doc")).otherwise(listed)
+    others = [c for c in parsed.columns if c != "doc"]
+    return parsed.filter(F.col("doc").isNotNull()).select(*others, F.posexplode(single).alias("result_no", "doc"))
+
+
+def request_payloads(
+    findings: DataFrame, keys: list[str], title_limit: int | None = None,
+    description_limit: int | None = None,
+) -> DataFrame:
+    """The redacted record handed to an external look-up, as JSON.
 
     `findings` carries item_key, name, severity, description and the joined display
-    texts; a value that survives redaction raises.
+    texts; a value that survives redaction raises.  Texts are whole unless a limit is
+    given.
     """
+    def text(c: str, limit: int | None) -> Column:
+        return strip(or_empty(F.col(c))) if limit is None else trim_text(F.col(c), limit)
+
     trimmed = findings.withColumns({
-        "title": trim_text(F.col("name"), 180),
-        "description": trim_text(F.col("description"), 900),
+        "title": text("name", title_limit), "description": text("description", description_limit),
     })
     texts = ["title", "description"] + [
         c for c in ("epss_text", "patterns_text") if c in findings.columns

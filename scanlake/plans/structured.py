@@ -5,26 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanlake.functions import assets as A
-from scanlake.functions import ids as I
-from scanlake.functions.severity import severity_canonical
-from scanlake.functions.text import key_text, or_empty, squeeze
+from scanlake.functions.text import key_text, or_empty
 from scanlake.operators import dedupe as dd
 from scanlake.operators import falsepos as fp
 from scanlake.operators import grouping as g
 from scanlake.operators import presentation as p
-from scanlake.operators import quality as q
 from scanlake.operators import rollup as r
 from scanlake.operators.ordinal import first_k, number_by_order
 from scanlake.plans.enrichment import Catalogs, enrich
-from scanlake.plans.report import compose_report
-from scanlake.session import stable
+from scanlake.plans.finish import ID_KEYS, finish_report
+from scanlake.plans.lookup import apply_lookup, lookup_requests, lookup_results
+from scanlake.session import stable, staged
 
 COMPLETENESS = [
     "name", "severity", "vuln_id", "cve", "cvss", "description", "remediation", "reference",
     "category", "business_impact", "control_objective", "control_name", "audit_requirement",
 ]
-ID_KEYS = ["report_id", "id"]
 
 
 def renumber(findings: DataFrame) -> DataFrame:
@@ -74,8 +70,8 @@ def dedupe(findings: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame
         ).otherwise(F.lit(0)),
     })
     group = ["report_id", "_key", "_family"]
-    kept = stable(first_k(
-        keyed, group, [F.col("_filled").desc(), F.col("_len").desc(), F.col("pos")], 1))
+    kept = staged(first_k(
+        keyed, group, [F.col("_filled").desc(), F.col("_len").desc(), F.col("pos")], 1), "kept")
     owner = kept.select(*group, F.col("id").alias("kept_id"))
     moved = (
         keyed.select(*group, "id").join(owner, group).select("report_id", "id", "kept_id")
@@ -85,58 +81,42 @@ def dedupe(findings: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame
     return kept.drop("_key", "_family", "_filled", "_len", "_rank", "asset_digest"), moved
 
 
-def asset_mentions(findings: DataFrame) -> DataFrame:
-    """(finding, asset): addresses and host names mentioned in a finding's texts."""
-    mentions = F.concat(*[A.asset_candidates(F.col(c)) for c in ("description", "observation")])
-    return findings.select(*ID_KEYS, F.explode(A.clean_assets(mentions)).alias("asset")).distinct()
-
-
 def structured_report(
-    scan: DataFrame, catalogs: Catalogs | None = None, min_pass: float = 0.55
+    scan: DataFrame, catalogs: Catalogs | None = None, min_pass: float = 0.55,
+    replies: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """The whole chain from scan rows to report tables.
 
-    Checkpoints stand where a later step reads a result more than once, so the scan is
-    grouped once and lost executors do not restart the chain.
+    Tables are staged where a later step reads a result more than once, so the scan is
+    grouped once, later steps read only the columns they need, and lost executors do not
+    restart the chain.  `catalogs` may carry a store of recommendations.
+
+    The look-up is a loop over two runs: `payloads` holds a redacted request for every
+    finding that needs one; the answers come back as `replies` (reply_no, raw) and are
+    merged into the findings, never over a scan's own fields or better values.
     """
     found, assets = g.findings_from_scan(scan)
-    found = stable(found)
+    found = staged(found, "found")
     details: dict[str, DataFrame] = {}
     enriched = found
     if catalogs is not None:
         enriched, details = enrich(found, catalogs)
-        enriched = stable(enriched)
+        enriched = staged(enriched, "enriched")
     filled = p.fill_missing(p.with_category(enriched, p.subnet_summary(assets)))
     numbered = renumber(filled.drop("subnet_count", "first_subnet", "web_asset"))
     by_id = assets.join(
         numbered.select(*g.KEYS, "id"), g.KEYS
     ).select("report_id", "id", "asset")
     kept, kept_assets = dedupe(numbered.drop("asset_count", "affected_assets_short"), by_id)
-    flagged = stable(fp.flag_false_positives(p.validate_findings(kept)))
-    real = flagged.filter(~F.col("is_fp")).drop("is_fp")
-    all_assets = stable(kept_assets.unionByName(asset_mentions(real)).distinct())
-    refs = F.concat(
-        I.refs_array(F.col("reference")),
-        I.auto_refs(I.blob(F.col("cve"), F.col("description"), F.col("remediation")),
-                    I.blob(F.col("cve"), F.col("description"), F.col("remediation"))),
-    )
-    clean = real.withColumns({
-        "name": squeeze(F.col("name")),
-        "severity": severity_canonical(F.col("severity")),
-        "refs": I.rank_refs(refs),
-    })
-    scored = stable(q.score_findings(clean))
-    with_count = g.with_assets(scored, g.asset_summary(all_assets, ID_KEYS), ID_KEYS)
-    report = compose_report(with_count, p.subnet_summary(all_assets, ID_KEYS), ID_KEYS)
-    return {
-        **report,
-        **details,
-        "assets": all_assets,
-        "false_positives": flagged.filter("is_fp").drop("is_fp"),
-        "metadata": r.report_metadata(scored, p.asset_subnets(all_assets, ID_KEYS)),
-        "networks": r.report_networks(p.asset_subnets(all_assets, ID_KEYS)),
-        "quality": q.quality_summary(scored, min_pass, ["report_id"]),
-    }
+    kept = kept.withColumn("item_key", F.concat_ws("-", *ID_KEYS))
+    asked = lookup_requests(kept)
+    if replies is not None:
+        answers = lookup_results(replies, asked)
+        kept = apply_lookup(kept, answers["results"])
+        details = {**details, "unread_replies": answers["unread"]}
+    flagged = staged(fp.flag_false_positives(p.validate_findings(kept.drop("item_key"))), "flagged")
+    report = finish_report(flagged, kept_assets, min_pass)
+    return {**report, **details, "payloads": asked.select(*ID_KEYS, "item_key", "payload")}
 
 
 def write_report_tables(report: dict[str, DataFrame], path: str) -> None:
