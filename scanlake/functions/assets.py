@@ -11,14 +11,8 @@ from scanlake.functions.text import (
 )
 from scanlake.tables import fixed
 
-IPV4_PORT = r"\b(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?\b"
-IPV4_HOST = r"\b((?:\d{1,3}\.){3}\d{1,3})(?::\d+)?\b"
-CIDR = r"\b(?:\d{1,3}\.){3}\d{1,3}/\d{1,2}\b"
-IPV4_OR_CIDR = r"\b(?:\d{1,3}\.){3}\d{1,3}(?:/\d{1,2})?\b"
-HOST_PORT = (
-    r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}(?::\d+)?\b"
-)
-WEB_HINT = r"(?i)https?://|\bwww\.|\.(?:com|net|org|io|app|local|internal)\b"
+IPV4_PORT, IPV4_HOST, CIDR, IPV4_OR_CIDR = fixed.IPV4_PORT, fixed.IPV4_HOST, fixed.CIDR, fixed.IPV4_OR_CIDR
+HOST_PORT, WEB_HINT = fixed.HOST_PORT, fixed.WEB_HINT
 
 
 def found(c: Column, pattern: str, group: int = 0) -> Column:
