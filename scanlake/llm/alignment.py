@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import in_slices, stage, whole_text
+from scanlake.llm.common import hold, in_slices, stage, whole_text
 
 SLICE = 384 << 10
 PIECE = 64 << 10
@@ -111,6 +111,7 @@ _PAIR: dict[tuple[str, str], Pair] = {}
 
 
 def pair_of(a_path: str, b_path: str) -> Pair:
+    hold("alignment", _PAIR.clear)
     if (a_path, b_path) not in _PAIR:
         _PAIR.clear()
         _PAIR[a_path, b_path] = Pair(a_path, b_path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_HELD: dict[str, Callable[[], None]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -105,6 +106,16 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def hold(owner: str, drop: Callable[[], None]) -> None:
+    """Say that an operator keeps look-ups in this Python worker; those of other operators are dropped.
+
+    Workers are used again by later stages, which need the memory for themselves.
+    """
+    for other in [o for o in _HELD if o != owner]:
+        _HELD.pop(other)()
+    _HELD[owner] = drop
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a slice holds about `most` bytes of text (one row at least)."""
     for b in batches:

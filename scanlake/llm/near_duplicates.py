@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import components, in_slices, run_borders, sorted_runs, stage, text_key, whole_text
+from scanlake.llm.common import components, hold, in_slices, run_borders, sorted_runs, stage, text_key, whole_text
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -42,7 +42,7 @@ _G = np.random.default_rng(23)
 _A = _G.integers(1, 1 << 63, _M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _G.integers(1, 1 << 63, _M, dtype=np.uint64)
 _HASH: dict[str, int] = {}
-_HASH_MOST = 400_000
+_HASH_MOST = 200_000
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -162,6 +162,7 @@ class Forest:
 def signatures(texts: DataFrame) -> DataFrame:
     """key, sig, bands of texts (columns key and _text) that have shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("near_duplicates", _HASH.clear)
         for b in in_slices(batches, "_text"):
             s, borders = shingles(b.column("_text").to_pylist())
             some = np.flatnonzero(np.diff(borders))
@@ -243,6 +244,7 @@ def verified(groups: DataFrame, texts: DataFrame) -> DataFrame:
     rows = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("near_duplicates", _HASH.clear)
         for t in sorted_runs(batches, ["root", "i", "j"], 256):
             key, own = t.column("key").combine_chunks(), t.column("own").to_numpy()
             cross = t.column("i").to_numpy() != t.column("j").to_numpy()

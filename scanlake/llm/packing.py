@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import in_slices, stage, whole_text
+from scanlake.llm.common import hold, in_slices, stage, whole_text
 
 CAPACITY = 2048
 END = 1
@@ -44,6 +44,11 @@ _KNOWN_MOST = 500_000
 _TOKENIZER: dict[str, object] = {}
 
 
+def _drop() -> None:
+    _TOKENIZER.clear()
+    _KNOWN[:] = [{}, {}]
+
+
 def encoder(path: str):
     """texts -> token ids of each as little-endian unsigned 32-bit integers.
 
@@ -52,9 +57,9 @@ def encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
     from tokenizers import Tokenizer
 
+    hold("packing", _drop)
     if path not in _TOKENIZER:
-        _TOKENIZER.clear()
-        _KNOWN[:] = [{}, {}]
+        _drop()
         _TOKENIZER[path] = Tokenizer.from_file(path)
     tok = _TOKENIZER[path]
 

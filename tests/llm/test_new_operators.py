@@ -245,3 +245,15 @@ def test_collapsed_text(spark):
     d = spark.createDataFrame([(1, "x " + "go on " * 5 + "end"), (2, "plain\ttext"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: (r.text, [tuple(x) for x in r.runs]) for r in runs.collapse_runs(d).collect()}
     assert got == {1: ("x go on end", [(1, 10, 2)]), 2: ("plain text", []), 3: ("", [])}
+
+
+def test_a_worker_holds_the_look_ups_of_one_operator():
+    from scanlake.llm.common import hold
+
+    dropped = []
+    hold("a", lambda: dropped.append("a"))
+    hold("a", lambda: dropped.append("a"))
+    assert dropped == []
+    hold("b", lambda: dropped.append("b"))
+    hold("a", lambda: dropped.append("a"))
+    assert dropped == ["a", "b"]
