@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from queries import duck as d
 from queries import enrichment as X
 from queries import text as T
+from queries.report import _IMPACT, findings
 from queries.scan import _FUZZY
 from queries.views import view
+from scanlake.operators import presentation as p
 from scanlake.operators import rollup as r
 from scanlake.plans.enrichment import Catalogs
+from scanlake.plans.lookup import apply_lookup, lookup_requests, lookup_results
 from scanlake.plans.structured import structured_report as build
 from scanlake.plans.textual import text_chunks
 from scanlake.plans.textual import text_report as build_text
@@ -57,7 +60,33 @@ def text_chunk_sizes(spark, sf):
         F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"))
 
 
+def lookup_loop(spark, sf):
+    """Requests for every finding that needs a look-up, replies for two thirds of them, merged."""
+    f = p.fill_missing(findings(spark, sf).withColumns({c: F.lit(None).cast("string") for c in ("control_objective", "control_name", "audit_requirement", "business_impact")}))
+    f = f.withColumn("item_key", F.concat_ws("-", "report_id", "id"))
+    n = F.col("first_row")
+    asked = lookup_requests(f)
+    result = F.struct(
+        F.col("item_key").alias("key"), F.when(n % 2 == 0, F.lit("Keep releases under a tracked plan")).alias("control_objective"),
+        F.lit("Tracked Releases").alias("control_name"), F.lit(" loss ").alias("business_impact"),
+        F.struct(F.concat(F.lit("Upgrade "), "name").alias("primary"), F.when(n % 4 == 0, F.lit("Limit access")).alias("secondary")).alias("recommendation"))
+    raw = F.when(n % 5 == 0, F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(result).alias("results"))), F.lit("\n```"))).otherwise(F.to_json(result))
+    replies = f.filter(n % 3 != 0).join(asked.select("item_key"), "item_key").select(n.alias("reply_no"), raw.alias("raw"))
+    merged = apply_lookup(f, lookup_results(replies, asked)["results"])
+    return merged.select("report_id", "id", "looked_up", "control_objective", "control_name", "business_impact", "remediation")
+
+
+def text_quality(spark, sf):
+    """Quality and severity counts of the text chain, which ends like the structured one."""
+    replies = view(spark, sf, "responses").withColumnsRenamed({"conv_id": "doc_id", "turn": "chunk_no"})
+    rep = build_text(replies)
+    return rep["quality"].join(r.severity_counts(rep["findings"], ["report_id"]), "report_id").join(
+        rep["narrative"].select("report_id", "risk_posture"), "report_id")
+
+
 QUERIES = {
+    "lookup_loop": lookup_loop,
+    "text_quality": text_quality,
     "structured_report": structured_report,
     "structured_false_positives": structured_false_positives,
     "structured_summary": structured_summary,
@@ -101,7 +130,19 @@ th AS (SELECT report_id, {d.category_words('category')} AS theme, count(*) AS n,
 ph AS (SELECT report_id, string_agg(theme, ' and ' ORDER BY place) AS theme_phrase FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY n DESC, best, theme) AS place FROM th) WHERE place <= 2 GROUP BY report_id),
 tot AS (SELECT report_id, {d.COUNTS}, {d.TOTAL} FROM fin GROUP BY report_id)"""
 
+_LOOKED = f"""{d.PRESENT}, lk AS (SELECT *, first_row % 3 <> 0 AS hit, {_IMPACT} AS bi,
+  CASE WHEN first_row % 3 <> 0 AND first_row % 2 = 0 THEN 'Keep releases under a tracked plan' END AS n_obj,
+  CASE WHEN first_row % 3 <> 0 THEN 'loss' END AS n_bi,
+  CASE WHEN first_row % 3 <> 0 THEN concat('Upgrade ', trim(name), CASE WHEN first_row % 4 = 0 THEN concat(chr(10), 'Limit access') ELSE '' END) END AS n_rem FROM labelled)"""
+
 ORACLE = {
+    "lookup_loop": d.q(_LOOKED, f"""SELECT report_id, id, hit AS looked_up, n_obj AS control_objective, CASE WHEN hit THEN 'Tracked Releases' END AS control_name,
+      {X._merge('bi', 'n_bi')} AS business_impact, {X._merge('remediation', 'n_rem')} AS remediation FROM lk"""),
+    "text_quality": f"""WITH {d.REPLIES}, ok AS (SELECT * FROM responses JOIN conversations USING (conv_id, turn) WHERE turn % 7 <> 3),
+      it AS (SELECT conv_id, concat(role, ' issue') AS name, 'High' AS severity FROM ok UNION ALL SELECT conv_id, concat('turn ', turn), 'Low' FROM ok),
+      n AS (SELECT conv_id AS report_id, count(DISTINCT name) AS count, count(DISTINCT name) FILTER (severity = 'High') AS total_high, count(DISTINCT name) FILTER (severity = 'Low') AS total_low FROM it GROUP BY conv_id)
+      SELECT report_id, count, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS pass_rate, count AS failing, 0 AS total_critical, total_high, 0 AS total_medium, total_low, count AS total_findings,
+       concat('The current risk posture remains elevated because ', total_high, ' high-severity finding', CASE WHEN total_high <> 1 THEN 's' ELSE '' END, ' require prioritised remediation, concentrated in Network Infrastructure.') AS risk_posture FROM n""",
     "structured_summary": d.q(_FINAL, """SELECT report_id, count, mean, pass_rate, failing, total_critical, total_high, total_medium, total_low, total_findings,
       CASE WHEN total_critical > 0 THEN concat('The current risk posture remains elevated because ', total_critical, ' critical finding', CASE WHEN total_critical <> 1 THEN 's' ELSE '' END, ' require immediate remediation, concentrated in ', theme_phrase, '.')
        WHEN total_high > 0 THEN concat('The current risk posture remains elevated because ', total_high, ' high-severity finding', CASE WHEN total_high <> 1 THEN 's' ELSE '' END, ' require prioritised remediation, concentrated in ', theme_phrase, '.')
