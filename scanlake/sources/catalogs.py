@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlake.functions.text import not_blank, or_empty, squeeze, strip
+from scanlake.session import staged
 
 # Text that may hold markup is read as a string and its tags are dropped.
 _CONSEQUENCES = (
@@ -168,10 +169,8 @@ def pattern_weakness_bridge(patterns: DataFrame) -> DataFrame:
 
 _PROP = "props:array<struct<name:string,value:string>>"
 _PART3 = f"struct<name:string,prose:string,{_PROP}>"
-_PART2 = f"struct<name:string,prose:string,{_PROP},parts:array<{_PART3}>>"
-_PART = f"struct<name:string,prose:string,{_PROP},parts:array<{_PART2}>>"
-_CTRL = f"struct<id:string,title:string,{_PROP},parts:array<{_PART}>,controls:array<variant>>"
-_GROUP = "struct<id:string,groups:array<variant>,controls:array<variant>>"
+_PART = f"struct<name:string,prose:string,{_PROP},parts:array<{_PART3}>>"
+_CTRL = f"struct<id:string,title:string,{_PROP},parts:array<{_PART}>>"
 CONTROL_SCHEMA = "catalog struct<groups:array<variant>>"
 
 
@@ -194,45 +193,52 @@ def _statement(parts: Column) -> Column:
     return or_empty(F.array_join(F.flatten(F.transform(stated, one)), "\n"))
 
 
-def _guidance(parts: Column) -> Column:
-    def prose(p: Column) -> Column:
-        return F.when(p["name"] == "guidance", strip(or_empty(p["prose"]))).otherwise(F.lit(""))
+_ID = "upper(coalesce(try_variant_get(v, '$.id', 'string'), ''))"
 
-    own = F.transform(parts, prose)
-    nested = F.flatten(F.transform(
-        parts, lambda p: F.coalesce(F.transform(p["parts"], prose),
-                                    F.array().cast("array<string>"))))
-    return or_empty(F.array_join(F.filter(F.concat(own, nested), lambda x: x != ""), "\n"))
+
+def _children(kind: str, **fields: str) -> str:
+    """SQL: the entries of a node's list of one kind as nodes, with their place behind the path."""
+    place = f"concat(path, '/{kind[0]}', lpad(CAST(i AS STRING), 6, '0'))"
+    stated = ", ".join(f"'{k}', {v.format(place=place)}" for k, v in fields.items())
+    listed = f"coalesce(try_variant_get(v, '$.{kind}s', 'array<variant>'), array())"
+    return f"transform({listed}, (x, i) -> named_struct('kind', '{kind}', {stated}, 'path', {place}, 'v', x))"
+
+
+_WALK = f"""
+WITH RECURSIVE walk(kind, family, parent_id, owner, path, v) AS (
+  SELECT 'group', '', '', '', lpad(CAST(i AS STRING), 6, '0'), v FROM {{roots}}
+  UNION ALL
+  SELECT c.kind, c.family, c.parent_id, c.owner, c.path, c.v FROM walk LATERAL VIEW inline(filter(concat(
+    {_children("group", family=f"coalesce(nullif({_ID}, ''), family)", parent_id="''", owner="''")},
+    {_children("control", family=f"if(kind = 'group', coalesce(nullif({_ID}, ''), family), family)",
+               parent_id=f"if(kind = 'control', {_ID}, '')", owner="{place}")},
+    {_children("part", family="family", parent_id="''", owner="owner")}
+  ), n -> n.kind <> 'control' OR coalesce(try_variant_get(n.v, '$.id', 'string'), '') <> '')) c AS kind, family, parent_id, owner, path, v
+)
+SELECT * FROM walk"""
 
 
 def load_controls(spark: SparkSession, path: str) -> DataFrame:
     """Controls of an OSCAL catalog with their enhancements, of any depth, and parent ids.
 
-    Groups may hold groups; a control's family is the innermost group with an id.  Each
-    level is one step; the steps end where a level is empty.
+    Groups may hold groups; a control's family is the innermost group with an id.  A
+    control without an id is left out, and so is what it holds.  Guidance is gathered from
+    parts of any depth, in their order.  Groups, controls and parts are one tree, walked by
+    one recursive query; Spark's own bounds on recursion hold (100 levels, a million nodes).
     """
     raw = spark.read.schema(CONTROL_SCHEMA).option("multiLine", True).json(path)
-    level = raw.select(F.lit("").alias("family"), F.explode("catalog.groups").alias("v"))
-    controls = None
-    while controls is None or not level.isEmpty():
-        g = level.select("family", F.try_variant_get("v", "$", _GROUP).alias("g")).withColumn(
-            "family", F.coalesce(not_blank(F.upper("g.id")), F.col("family")))
-        own = g.select("family", F.lit("").alias("parent_id"), F.explode("g.controls").alias("v"))
-        controls = own if controls is None else controls.unionByName(own)
-        level = g.select("family", F.explode("g.groups").alias("v"))
-
-    found = None
-    while found is None or not controls.isEmpty():
-        c = controls.select("family", "parent_id", F.try_variant_get("v", "$", _CTRL).alias("c"))
-        records = c.filter(or_empty(F.col("c.id")) != "").select(
-            F.upper("c.id").alias("id"), "family", or_empty(F.col("c.title")).alias("title"),
-            _last_label(F.col("c.props")).alias("label"),
-            _statement(F.col("c.parts")).alias("statement"),
-            _guidance(F.col("c.parts")).alias("guidance"), "parent_id",
-        )
-        found = records if found is None else found.unionByName(records)
-        controls = c.select("family", F.upper("c.id").alias("parent_id"), F.explode("c.controls").alias("v"))
-    return found
+    roots = raw.select(F.posexplode("catalog.groups").alias("i", "v"))
+    nodes = staged(spark.sql(_WALK, roots=roots), "controls")
+    text = nodes.filter("kind = 'part'").select(
+        "owner", "path", F.try_variant_get("v", "$", "struct<name:string,prose:string>").alias("p"))
+    prose = strip(or_empty(F.col("p.prose")))
+    said = text.filter((F.col("p.name") == "guidance") & (prose != "")).groupBy("owner").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("path", prose.alias("t"))))["t"], "\n").alias("guidance"))
+    controls = nodes.filter("kind = 'control'").select("family", "parent_id", "owner", F.try_variant_get("v", "$", _CTRL).alias("c"))
+    return controls.join(said, "owner", "left").select(
+        F.upper("c.id").alias("id"), "family", or_empty(F.col("c.title")).alias("title"),
+        _last_label(F.col("c.props")).alias("label"), _statement(F.col("c.parts")).alias("statement"),
+        or_empty(F.col("guidance")).alias("guidance"), "parent_id")
 
 
 # --- CVE and EPSS files -------------------------------------------------------------

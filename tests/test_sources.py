@@ -290,3 +290,16 @@ def test_csv_with_many_headers_takes_one_job_for_them(spark, tmp_path):
     got = rows.orderBy("row_id").collect()
     assert [(r.Name0, r.col0 or r.col1 or r.col2, r._c2, r.Name3) for r in got] == [(f"x{i}", str(i), "u", "again") for i in range(12)]
     assert records.header_names("\"a\nb\",A,,a,c") == ["a\nb", "A1", "_c2", "a3", "c"]
+
+
+def test_guidance_of_any_depth(spark, tmp_path):
+    part = {"name": "guidance", "prose": "7"}
+    for i in range(6, 0, -1):
+        part = {"name": "guidance" if i % 2 else "item", "prose": str(i), "parts": [part, {"name": "guidance", "prose": f"{i}b"}]}
+    doc = {"catalog": {"groups": [{"id": "a", "groups": [{"groups": [{"id": "b", "controls": [
+        {"id": "b-1", "parts": [part, {"name": "guidance", "prose": "end"}], "controls": [{"title": "no id", "controls": [{"id": "lost"}]}, {"id": "b-1.1", "controls": [{"id": "b-1.1.1"}]}]}]}]}],
+        "controls": [{"id": "a-1"}]}]}}
+    got = {r.id: r for r in C.load_controls(spark, write(tmp_path, "deep.json", json.dumps(doc))).collect()}
+    assert set(got) == {"A-1", "B-1", "B-1.1", "B-1.1.1"}
+    assert got["B-1"].guidance == "1\n3\n5\n7\n6b\n5b\n4b\n3b\n2b\n1b\nend" and got["A-1"].guidance == ""
+    assert {k: (r.family, r.parent_id) for k, r in got.items()} == {"A-1": ("A", ""), "B-1": ("B", ""), "B-1.1": ("B", "B-1"), "B-1.1.1": ("B", "B-1.1")}
