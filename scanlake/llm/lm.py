@@ -384,7 +384,8 @@ def score_slice(m: Model, texts: list[str]) -> tuple[np.ndarray, ...]:
     """Per text: tokens, known tokens, base score, score."""
     s = Slice(texts)
     ids, counts = _words(m.folder, m.sizes).look_up(s.hashes)
-    base = np.log10((counts + 1) / (m.total + m.kinds + 1))
+    share = (counts + 1) / (m.total + m.kinds + 1)
+    base = np.log10(share)
     w, one, two = chains(s, ids)
     before = np.concatenate([[m.texts], counts[s.at][:-1]])
     before[s.starts] = m.texts
@@ -393,7 +394,7 @@ def score_slice(m: Model, texts: list[str]) -> tuple[np.ndarray, ...]:
     known = np.flatnonzero((prev >= 0) & (cur >= 0))
     c2 = np.zeros(len(pair), np.int64)
     c2[known] = m.counts(2, prev[known], cur[known])
-    p = (c2[back] + MU * 10.0 ** base[s.at]) / (before + MU)
+    p = (c2[back] + MU * share[s.at]) / (before + MU)
     i = np.flatnonzero(two >= 0)
     i = i[c2[back[i - 1]] > 0]
     key, back3 = np.unique(back[i - 1] << 32 | (w[i] + 1), return_inverse=True)
@@ -412,7 +413,7 @@ def score(docs: DataFrame, m: Model, id_col: str = "doc_id", text: str = "text")
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_slices(batches, "_text", 8 << 20):
+        for b in in_slices(batches, "_text", 12 << 20):
             n, known, base, full = score_slice(m, b.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), m.total), pa.int64()), pa.array(base), pa.array(full)],
