@@ -15,7 +15,7 @@ if some part of it is within EDITS * length edits of the whole item.
    Hamming distance.
 3. LSH.  Each of WALKS walks is sampled SAMPLES times at BITS places within the class's
    length; equal samples make candidates.  With a share d of unequal places a pair is found
-   with probability 1 - (1 - (1 - d)^BITS)^(WALKS * SAMPLES): 0.99 at d = 0.2, 1 for exact
+   with probability 1 - (1 - (1 - d)^BITS)^(WALKS * SAMPLES): 0.99 at d = 0.3, 1 for exact
    copies.  A second bit map of fixed size, of the items' samples, lets windows without any
    equal sample drop out before they are shuffled.
 4. Candidates are verified by bit-parallel edit distance with a free end.
@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import byte_rows, in_slices, stage, text_key, whole_text
+from scanlake.llm.common import byte_rows, hold, in_slices, stage, text_key, whole_text
 from scanlake.llm.suffixes import Names
 
 EDITS = 0.05
 GRAM = 12
 MAP_BITS = 24
 PART = 1 << 15  # bits that bitmap_construct_agg holds
-WALKS, SAMPLES, BITS = 4, 5, 6
+WALKS, SAMPLES, BITS = 8, 5, 6
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 _PLAIN[9:14] = 32
@@ -227,8 +227,9 @@ def windows(docs: DataFrame, bits: np.ndarray, classes: dict[int, list[int]], sa
     sent = docs.sparkSession.sparkContext.broadcast((bits, samples))  # bounded: 2^MAP_BITS bits each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("decontaminate", lambda: None)
         table, of_items = sent.value
-        for b in in_slices(batches, "_text"):
+        for b in in_slices(batches, "_text", 1 << 20):
             raw, borders = byte_rows(b.column("_text"))
             raw = plain(raw)
             for cls, row, starts in find_windows(raw, borders, table, classes):

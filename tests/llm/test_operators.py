@@ -221,6 +221,27 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_insertions_and_deletions(spark):
+    """Recall at exactly the allowed number of edits, all of them insertions or deletions."""
+    g = random.Random(15)
+    items = [(i, text(g, g.randrange(14, 60)).replace("é", "f")) for i in range(30)]  # edits are counted in bytes
+    made, want = [], set()
+    for i in range(400):
+        k = g.randrange(30)
+        t = list(items[k][1])
+        for _ in range(decontaminate.allowed(len(t))):
+            at = g.randrange(len(t))
+            if g.random() < 0.5:
+                t.insert(at, g.choice("xyz"))
+            else:
+                del t[at]
+        made.append((i, f"{text(g, 30)} {''.join(t)} {text(g, 30)}"))
+        want.add((i, k))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(made, "doc_id long, text string"), bench).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want), len(got)
+
+
 @pytest.mark.parametrize("a,b", [("kitten sits", "kitten sits here"), ("abcdef", "abxdefgh"), ("abc", ""), ("hello world", "hallo wurld and more")])
 def test_edits_with_a_free_end(a, b):
     d, n = decontaminate.edits_at_start(a.encode(), b.encode(), 6)
