@@ -81,10 +81,10 @@ def near_lines(d: DataFrame, first: DataFrame) -> DataFrame:
     some = pick(d, first.filter(F.col("n") >= SHORT).select("k", "pos", "id"))
     filed = some.select("id", F.explode(F.array(*segment_keys(F.col("line")))).alias("key"))
     asked = some.select(F.col("id").alias("by"), F.explode(F.array_distinct(F.array(*probe_keys(F.col("line"))))).alias("key"))
-    hot = filed.groupBy("key").agg(F.count("*").alias("lines")).filter(F.col("lines") > HOT).select("key")
+    hot = stage(filed.groupBy("key").agg(F.count("*").alias("lines")).filter(F.col("lines") > HOT).select("key"), "hot_keys")
     rare = filed.join(hot, "key", "left_anti")
     met = rare.join(asked, "key").filter("id <> by").union(rare.join(rare.withColumnRenamed("id", "by"), "key").filter("id < by"))
-    pairs = met.select(F.least("id", "by").alias("a"), F.greatest("id", "by").alias("b")).distinct()
+    pairs = stage(met.select(F.least("id", "by").alias("a"), F.greatest("id", "by").alias("b")).distinct(), "pairs")
 
     def with_text(ids: DataFrame) -> DataFrame:
         return pick(d, first.join(ids, "id").select("k", "pos", "id", "doc_id")).distinct()
@@ -112,7 +112,7 @@ def kept_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     lines = d.select("k", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     seen = lines.filter(F.trim("line") != "").groupBy(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(17), "line").alias("id2"))
     first = stage(seen.agg(F.min(F.struct("doc_id", "k", "pos")).alias("f"), F.min(F.length("line")).alias("n")).select("id", "f.doc_id", "f.k", "f.pos", "n"), "lines")
-    # one plan from here on: the texts are shuffled by k once and read three times
+    # hot keys and pairs are plans of their own, so that none grows beyond the driver's memory
     d = d.select("k", "text")
     stays = first.select("k", "pos").join(near_lines(d, first), ["k", "pos"], "left_anti")
     keep = stays.groupBy("k").agg(F.collect_set("pos").alias("keep"))
